@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prosemill.llm.byte_bpe import encode_digests
 from prosemill.llm.common import read
 from prosemill.llm.near_dedup import near_duplicates
+from prosemill.llm.packing import packed
 
 
 def op2_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), n=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_superminhash_near_dedup,)}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"), capacity=1024)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_superminhash_near_dedup, op5_best_fit_packing, op10_byte_bpe)}
 
 #: None of them: signatures, compressors, tokenizers and archives have no SQL counterpart.
 ORACLES: dict[str, str] = {}
