@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prosemill.llm.byte_bpe import encode_digests
 from prosemill.llm.common import read
+from prosemill.llm.media import media_columns
 from prosemill.llm.near_dedup import near_duplicates
 from prosemill.llm.packing import packed
+from prosemill.llm.secrets import find_secrets
+
+
+def op1_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
 
 
 def op2_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +25,24 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op6_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(read(spark, sf_dir, "documents"), full=False)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_superminhash_near_dedup, op5_best_fit_packing, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_zstd_novelty_secrets,
+        op2_superminhash_near_dedup,
+        op5_best_fit_packing,
+        op6_wav_fingerprints,
+        op10_byte_bpe,
+    )
+}
 
 #: None of them: signatures, compressors, tokenizers and archives have no SQL counterpart.
 ORACLES: dict[str, str] = {}
