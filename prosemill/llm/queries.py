@@ -10,6 +10,7 @@ from prosemill.llm.media import media_columns
 from prosemill.llm.near_dedup import near_duplicates
 from prosemill.llm.packing import packed
 from prosemill.llm.secrets import find_secrets
+from prosemill.llm.toxicity import fit, score_toxicity, training_rows
 
 
 def op1_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op6_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"), full=False)
 
 
+def op8_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(training_rows(docs, read(spark, sf_dir, "labels"))))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"))
 
@@ -40,6 +46,7 @@ QUERIES = {
         op2_superminhash_near_dedup,
         op5_best_fit_packing,
         op6_wav_fingerprints,
+        op8_zstd_toxicity,
         op10_byte_bpe,
     )
 }
