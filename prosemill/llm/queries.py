@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prosemill.llm.byte_bpe import encode_digests
 from prosemill.llm.common import read
+from prosemill.llm.html_text import extract_pages
 from prosemill.llm.media import media_columns
 from prosemill.llm.near_dedup import near_duplicates
 from prosemill.llm.packing import packed
@@ -35,6 +36,10 @@ def op8_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit(training_rows(docs, read(spark, sf_dir, "labels"))))
 
 
+def op9_text_to_tag_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES = {
         op5_best_fit_packing,
         op6_wav_fingerprints,
         op8_zstd_toxicity,
+        op9_text_to_tag_html,
         op10_byte_bpe,
     )
 }
