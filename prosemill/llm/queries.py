@@ -12,6 +12,7 @@ from prosemill.llm.near_dedup import near_duplicates
 from prosemill.llm.packing import packed
 from prosemill.llm.secrets import find_secrets
 from prosemill.llm.toxicity import fit, score_toxicity, training_rows
+from prosemill.llm.warc import archive_pages
 
 
 def op1_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"))
 
 
+def op7_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -51,6 +56,7 @@ QUERIES = {
         op2_superminhash_near_dedup,
         op5_best_fit_packing,
         op6_wav_fingerprints,
+        op7_zstd_warc,
         op8_zstd_toxicity,
         op9_text_to_tag_html,
         op10_byte_bpe,
