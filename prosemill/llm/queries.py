@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prosemill.llm.ann_forest import nearest
 from prosemill.llm.byte_bpe import encode_digests
 from prosemill.llm.common import read
 from prosemill.llm.html_text import extract_pages
@@ -24,6 +25,10 @@ def op2_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), k=20)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"), capacity=1024)
 
@@ -54,6 +59,7 @@ QUERIES = {
     for f in (
         op1_zstd_novelty_secrets,
         op2_superminhash_near_dedup,
+        op4_prefix_forest,
         op5_best_fit_packing,
         op6_wav_fingerprints,
         op7_zstd_warc,
