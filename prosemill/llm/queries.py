@@ -12,6 +12,7 @@ from prosemill.llm.media import media_columns
 from prosemill.llm.near_dedup import near_duplicates
 from prosemill.llm.packing import packed
 from prosemill.llm.secrets import find_secrets
+from prosemill.llm.substring_dedup import repeated_passages
 from prosemill.llm.toxicity import fit, score_toxicity, training_rows
 from prosemill.llm.warc import archive_pages
 
@@ -25,6 +26,10 @@ def op2_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"), words=50, n=5, percent=80)
+
+
 def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), k=20)
 
@@ -59,6 +64,7 @@ QUERIES = {
     for f in (
         op1_zstd_novelty_secrets,
         op2_superminhash_near_dedup,
+        op3_compact_windows,
         op4_prefix_forest,
         op5_best_fit_packing,
         op6_wav_fingerprints,
