@@ -1,10 +1,16 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification, union-find groups.
 
-Plan: texts with equal shingle sets fall into one class (hash of the whole set), so copies never
-meet each other again. A class signs once. In each band bucket every class is compared with the
-bucket's smallest one only; the links found make groups; what is left are pairs of one bucket whose
-classes lie in different groups, and these are compared too, unless their signatures rule a link
-out by far. So the groups are those of all links, without all pairs of a bucket.
+Texts with equal shingle sets fall into one class, so copies never meet each other again; a class
+signs once. Three steps then find all links without a row for each pair of a group:
+
+1. In each band bucket, signatures tell which classes can be linked at all; the bucket gives a
+   spanning forest of these, and the components of all forests are the neighbourhoods.
+2. Every class is verified, on full sets, with the smallest one of each of its buckets. The links
+   found make groups.
+3. Within a neighbourhood of more than one group, all classes of different groups are verified
+   against each other, in blocks of bounded size; a block pair gives a spanning forest of its links.
+
+Buckets and neighbourhoods of any size are cut into blocks, and pairs of blocks go to tasks.
 """
 
 from __future__ import annotations
@@ -21,9 +27,11 @@ from prosemill.llm.common import GOLDEN, U64, Words, components, mix, parts_of,
 #: Bands times rows is the length of a signature. At a similarity of 0.8 all 24 bands miss with a
 #: probability of (1 - 0.8 ** 4) ** 24 = 3e-6.
 BANDS, ROWS = 24, 4
-#: Pairs of different groups are compared where this share of the signature agrees; at a
-#: similarity of 0.8 fewer agree with a probability of about 1e-5.
+#: Pairs are verified where this share of the signature agrees; at a similarity of 0.8 fewer agree
+#: with a probability of about 1e-5.
 LEAST_AGREEING = 0.62
+#: Classes that a task compares with as many others at most, about.
+BLOCK = 512
 MAX_ELEMENTS = 1 << 16
 
 
@@ -115,18 +123,8 @@ def _setter(n: int):
     return sets
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = (a == b).mean(axis=1) >= LEAST_AGREEING
-            yield batch.filter(pa.array(keep)).select([0, 1])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = saved(docs.join(ids, "doc_id", "left_semi").mapInArrow(_setter(n), "node long, own array<long>"), "sets")
     a = sets.select(F.col("node").alias("u"), F.col("own").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("own").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -137,6 +135,129 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     )
 
 
+def _close(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+class _Forest:
+    """Union-find over 0..n-1; ``edges`` are the joins made."""
+
+    def __init__(self, root: np.ndarray):
+        self.root, self.edges = root, []
+
+    def others(self, i: int) -> np.ndarray:
+        """Those after i that are not joined with it."""
+        return np.flatnonzero(self.root[i + 1 :] != self.root[i]) + i + 1
+
+    def join(self, i: int, js: np.ndarray) -> None:
+        for r in np.unique(self.root[js]):
+            self.edges.append((i, int(js[self.root[js] == r][0])))
+            self.root[self.root == r] = self.root[i]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each task, which is the first column; the batches come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        task = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1), len(task)]
+        for k in range(len(cuts) - 1):
+            part = batch.slice(cuts[k], cuts[k + 1] - cuts[k])
+            if held and held[0].column(0)[0] != part.column(0)[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _edges(node: np.ndarray, forest: _Forest) -> pa.RecordBatch:
+    a, b = (np.array([node[e[i]] for e in forest.edges], np.int64) for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+
+def _likely(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """task, node, size, sig: a forest of the pairs whose signatures and sizes allow a link."""
+        for rows in _grouped(batches):
+            node, at = np.unique(rows.column(1).to_numpy(), return_index=True)
+            size = rows.column(2).to_numpy()[at]
+            sig = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(len(rows), -1)[at]
+            forest = _Forest(np.arange(len(node)))
+            for i in range(len(node) - 1):
+                js = forest.others(i)
+                js = js[100 * np.minimum(size[i], size[js]) >= percent * np.maximum(size[i], size[js])]
+                if len(js):
+                    js = js[(sig[js] == sig[i]).mean(axis=1) >= LEAST_AGREEING]
+                    forest.join(i, js)
+            yield _edges(node, forest)
+
+    return run
+
+
+def _linked(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """task, node, grp, own: a forest of the verified links between different groups."""
+        for rows in _grouped(batches):
+            node, at = np.unique(rows.column(1).to_numpy(), return_index=True)
+            own = rows.column(3).to_pylist()
+            own = [np.array(own[i], np.int64) for i in at]
+            size = np.array([len(x) for x in own])
+            _, first, number = np.unique(rows.column(2).to_numpy()[at], return_index=True, return_inverse=True)
+            forest = _Forest(first[number])
+            _, value, shared = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            doc = np.repeat(np.arange(len(node)), size)
+            keep = shared[value] > 1  # only these can be common
+            doc, value = doc[keep], (np.cumsum(shared > 1) - 1)[value[keep]]
+            order = np.argsort(value, kind="stable")
+            doc, value = doc[order], value[order]
+            common = np.zeros((len(node), len(node)), np.float32)
+            for low in range(0, int(value[-1]) + 1 if len(value) else 0, 4096):
+                a, b = np.searchsorted(value, (low, low + 4096))
+                part = np.zeros((len(node), 4096), np.float32)
+                part[doc[a:b], value[a:b] - low] = 1
+                common += part @ part.T
+            for i in range(len(node) - 1):
+                js = forest.others(i)
+                both = common[i, js].astype(np.int64)
+                forest.join(i, js[100 * both >= percent * (size[i] + size[js] - both)])
+            yield _edges(node, forest)
+
+    return run
+
+
+def _tasks(rows: DataFrame, key: str, kept: list[str], run, apart: str | None = None) -> DataFrame:
+    """The edges (u, v) that ``run`` finds within each key. Rows of a key are dealt into blocks of
+    about BLOCK rows, and each pair of a key's blocks is one task; with ``apart``, rows equal there
+    are dealt into blocks of their own where they fill some, and not held against each other."""
+    if apart:
+        own = rows.groupBy(key, apart).agg(F.count("*").alias("n"))
+        own = saved(own.withColumn("big", F.when(F.col("n") > BLOCK // 2, F.col(apart))), "dealt")
+        rest = own.where("big is null").groupBy(key).agg(F.sum("n").alias("rest"))
+        own = saved(own.join(rest, key, "left"), "dealt")
+        dealt = rows.join(own, [key, apart])
+        number = F.when(F.col("big").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))).otherwise(
+            F.pmod(F.xxhash64(apart), F.ceil(F.col("rest") / BLOCK))
+        )
+    else:
+        own = saved(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "dealt")
+        dealt = rows.join(own, key).withColumn("big", F.lit(None).cast("long"))
+        number = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
+    dealt = dealt.withColumn("block", F.xxhash64(key, F.coalesce("big", F.lit(-1)), number))
+    blocks = saved(dealt.select(key, "block", "big").distinct(), "blocks")
+    a = blocks.select(key, F.col("block").alias("a"), F.col("big").alias("big_a"))
+    b = blocks.select(key, F.col("block").alias("b"), F.col("big").alias("big_b"))
+    pairs = a.join(b, key).where("a <= b and coalesce(big_a != big_b, true)")
+    pairs = saved(pairs.select("a", "b", F.xxhash64("a", "b").alias("task")), "pairs")
+    sides = pairs.select(F.col("a").alias("block"), "task").unionByName(pairs.where("a != b").select(F.col("b").alias("block"), "task"))
+    return (
+        dealt.select("block", *kept).join(sides, "block").select("task", *kept)
+        .repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
+    )
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document of docs (doc_id, text): doc_id, n_shingles long (distinct n-word
     shingles), component_id long, kept boolean.
@@ -151,7 +272,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     gives an empty result. Texts of any length are read whole.
     """
     docs = pick(docs, doc_id="long", text="string")
-    close = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     signed = saved(
         docs.mapInArrow(_signer(n), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"), "signed"
     )
@@ -160,41 +280,33 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
         "classes",
     )
-    members = classes.select("node", "size", F.explode("bands").alias("bucket"))
+    members = classes.select("node", "size", "sig", F.explode("bands").alias("bucket"))
     stars = saved(
         members.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
         .select("bucket", F.col("c.node").alias("center"), F.col("c.size").alias("center_size")),
         "stars",
     )
     met = saved(members.join(stars, "bucket"), "met")
-    tried = saved(
-        met.where(F.col("node") != F.col("center")).where(close("size", "center_size"))
-        .select(F.col("center").alias("u"), F.col("node").alias("v")).distinct(),
-        "tried",
-    )
-    links = saved(_verified(tried, docs, n, percent), "links")
-    groups = components(links)
+    near = components(_tasks(met.select("bucket", "node", "size", "sig"), "bucket", ["node", "size", "sig"], _likely(percent)))
+    near = saved(near.withColumnRenamed("component", "hood"), "hoods")
 
-    met = saved(
-        met.join(groups, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("g")), "grouped"
-    )
-    split = saved(met.groupBy("bucket").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("bucket"), "split")
-    left = saved(met.join(split, "bucket"), "left")
-    sig = classes.select("node", "sig")
-    one = left.select("bucket", F.col("node").alias("u"), F.col("size").alias("su"), F.col("g").alias("gu"))
-    two = left.select("bucket", F.col("node").alias("v"), F.col("size").alias("sv"), F.col("g").alias("gv"))
-    pairs = (
-        one.join(two, "bucket").where("gu < gv").where(close("su", "sv"))
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        .join(tried, ["u", "v"], "left_anti")
+    sets = saved(
+        docs.join(near.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+        .mapInArrow(_setter(n), "node long, own array<long>"),
+        "sets",
     )
-    likely = saved(
-        pairs.join(sig.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u")
-        .join(sig.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v")
-        .select("u", "v", "a", "b").mapInArrow(_agreeing, "u long, v long"),
-        "likely",
+    tried = (
+        met.where(F.col("node") != F.col("center")).where(_close("size", "center_size", percent))
+        .select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     )
-    more = _verified(likely, docs, n, percent)
+    links = saved(_verified(tried, sets, percent), "links")
+    groups = components(links)
+
+    near = saved(near.join(groups, "node", "left").select("node", "hood", F.coalesce("component", "node").alias("grp")), "hoods")
+    split = near.groupBy("hood").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a != b").select("hood")
+    near = saved(near.join(saved(split, "split"), "hood"), "split")
+    left = saved(near.join(sets, "node"), "left")
+    more = _tasks(left, "hood", ["node", "grp", "own"], _linked(percent), apart="grp")
     groups = components(links.unionByName(more))
 
     named = saved(

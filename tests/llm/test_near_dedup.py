@@ -100,3 +100,18 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 101), (5, 5)]
     found = {r.node: r.component for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert found == {i: 1 for i in range(1, 41)} | {i: 100 for i in (100, 101, 103)}
+
+
+def test_blocks_of_large_groups(spark, monkeypatch):
+    from prosemill.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(80)]
+    rows = []
+    for i in range(90):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            t[rng.randrange(len(t))] = f"w{rng.randrange(500)}"
+        rows.append((i, " ".join(t)))
+    assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA), 4)) == brute(rows, 4)
