@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prosemill.functions.text import WS, collapsed, stripped
+from prosemill.functions.text import WS, collapsed, let, stripped
 
 _LONE = r"(?<!\p{L})\p{L}"  # a letter that no letter precedes
 #: Patterns and replacements in order; (?U) makes \w and \s mean what they mean in Python.
@@ -52,26 +52,31 @@ def for_model(text: Column) -> Column:
 def casing(source: Column) -> Column:
     """Map from lower case to the first capitalised form met inside a sentence."""
     tokens = F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(r"\p{L}+|[.?!]"), F.lit(0))
-    inside = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.coalesce(~F.get(tokens, i - 1).rlike("^[.?!]$") & (i > 0), F.lit(False)).alias("mid")))
-    named = F.filter(inside, lambda x: x["mid"] & x["t"].rlike(r"^\p{Lu}"))
-    keys = F.array_distinct(F.transform(named, lambda x: F.lower(x["t"])))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(named, lambda x: F.lower(x["t"]) == k)[0]["t"]))
+
+    def named(t: Column) -> Column:
+        inside = F.transform(t, lambda x, i: F.struct(x.alias("t"), F.coalesce(~F.get(t, i - 1).rlike("^[.?!]$") & (i > 0), F.lit(False)).alias("mid")))
+        return F.filter(inside, lambda x: x["mid"] & x["t"].rlike(r"^\p{Lu}"))
+
+    def as_map(names: Column) -> Column:
+        keys = F.array_distinct(F.transform(names, lambda x: F.lower(x["t"])))
+        return let(keys, lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.get(F.filter(names, lambda x: F.lower(x["t"]) == k), F.lit(0))["t"])))
+
+    return let(let(tokens, named), as_map)
 
 
 def from_model(text: Column, source: Column) -> Column:
     """Marks and quotes attached again, names cased as in the source, sentences capitalised."""
     t = collapsed(reduce(lambda t, r: F.regexp_replace(t, *r), BACKWARD, F.coalesce(text, F.lit(""))))
-    known = casing(source)
     pieces = F.regexp_extract_all(t, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    cased = F.transform(pieces, lambda p: F.coalesce(F.element_at(known, F.lower(p)), p))
-    starts = F.transform(
-        cased,
-        lambda p, i: F.when(
-            p.rlike(r"^\p{L}") & ((i == 0) | F.coalesce(F.get(cased, i - 1).rlike("[.?!]"), F.lit(False)) | ((i == 1) & ~F.get(cased, F.lit(0)).rlike(r"^\p{L}"))),
-            F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p))),
-        ).otherwise(p),
-    )
-    return F.array_join(starts, "")
+    cased = let(casing(source), lambda known: F.transform(pieces, lambda p: F.coalesce(F.element_at(known, F.lower(p)), p)))
+
+    def capitals(words: Column) -> Column:
+        first = lambda i: (i == 0) | ((i == 1) & ~F.get(words, F.lit(0)).rlike(r"^\p{L}"))
+        after = lambda i: F.coalesce((i > 0) & F.get(words, i - 1).rlike("[.?!]"), F.lit(False))
+        upper = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)))
+        return F.transform(words, lambda p, i: F.when(p.rlike(r"^\p{L}") & (first(i) | after(i)), upper(p)).otherwise(p))
+
+    return F.array_join(let(cased, capitals), "")
 
 
 def tidy(text: Column) -> Column:

@@ -36,6 +36,12 @@ CONTENT_STOP_WORDS = (
 ).split()
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once: an expression named inside a lambda would be worked out
+    again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def collapsed(text: Column) -> Column:
     """White space runs as one space, none at the ends; null is ''."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{WS}+", " "))
@@ -111,16 +117,23 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """n-grams as space-joined strings, repeats kept."""
-    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    at = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    def of(t: Column) -> Column:
+        count = F.size(t) - (n - 1)
+        at = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(t, i, n), " "))
+
+    return let(tokens, of)
 
 
 def has_loop(text: Column, n: int = 5, times: int = 3) -> Column:
     """Whether any n-gram of review tokens comes ``times`` times or more."""
-    grams = F.array_sort(ngrams(review_tokens(text), n))
-    at = F.sequence(F.lit(1), F.greatest(F.size(grams) - (times - 1), F.lit(1)))
-    return (F.size(grams) >= times) & F.exists(at, lambda i: F.get(grams, i - 1) == F.get(grams, i + (times - 2)))
+
+    def of(grams: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(grams) - (times - 1), F.lit(1)))
+        return (F.size(grams) >= times) & F.exists(at, lambda i: F.get(grams, i - 1) == F.get(grams, i + (times - 2)))
+
+    return let(F.array_sort(ngrams(review_tokens(text), n)), of)
 
 
 # --------------------------------------------------------------------------- sentences

@@ -23,10 +23,12 @@ def _split(text: Column) -> Column:
 def gram_counts(rows: DataFrame, keep: list[str]) -> DataFrame:
     """keep, n, gram and s, c, t: counts in the source, the candidate and all references."""
     sides = [("s", F.array("source")), ("c", F.array("candidate")), ("t", F.col("references"))]
-    parts = [
-        F.transform(F.flatten(F.transform(texts, lambda x, n=n: ngrams(_split(x), n))), lambda g, n=n, side=side: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("gram")))
-        for side, texts in sides for n in ORDERS
-    ]
+
+    def grams(texts: Column, side: str, n: int) -> Column:
+        each = F.flatten(F.transform(texts, lambda x: ngrams(_split(x), n)))
+        return F.transform(each, lambda g: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("gram")))
+
+    parts = [grams(texts, side, n) for side, texts in sides for n in ORDERS]
     long = rows.select(*keep, F.explode(F.flatten(F.array(*parts))).alias("x"))
     return long.groupBy(*keep, "x.n", "x.gram").agg(*[F.count_if(F.col("x.side") == side).alias(side) for side, _ in sides])
 
@@ -118,15 +120,13 @@ def corpus_bleu(rows: DataFrame, *by: str) -> DataFrame:
     lengths = F.transform("references", lambda x: F.size(toks(x)))
     closest = F.array_min(F.transform(lengths, lambda x: F.struct(F.abs(x - n_c).alias("d"), x.alias("n"))))["n"]
     sides = [F.array("candidate"), F.col("references")]
-    parts = [
-        F.transform(
-            F.flatten(F.transform(texts, lambda x, i=i, n=n: F.transform(ngrams(toks(x), n), lambda g: F.struct(F.lit(i).alias("side"), F.lit(n).alias("n"), g.alias("gram"), x.alias("of"))))),
-            lambda x: x,
-        )
-        for i, texts in enumerate(sides) for n in ORDERS
-    ]
+
+    def grams(texts: Column, i: int, n: int) -> Column:
+        return F.flatten(F.transform(texts, lambda x: F.transform(ngrams(toks(x), n), lambda g: F.struct(F.lit(i).alias("side"), F.lit(n).alias("n"), g.alias("gram"), F.xxhash64(x).alias("of")))))
+
+    parts = [grams(texts, i, n) for i, texts in enumerate(sides) for n in ORDERS]
     long = rows.select(*keys, F.explode(F.flatten(F.array(*parts))).alias("x"))
-    per_text = long.groupBy(*keys, "x.side", "x.n", "x.gram", F.xxhash64("x.of").alias("of")).agg(F.count("*").alias("k"))
+    per_text = long.groupBy(*keys, "x.side", "x.n", "x.gram", "x.of").agg(F.count("*").alias("k"))
     g = per_text.groupBy(*keys, "n", "gram").agg(F.max(F.when(F.col("side") == 0, F.col("k"))).alias("c"), F.max(F.when(F.col("side") == 1, F.col("k"))).alias("t"))
     match = g.where("c is not null").groupBy(*by, "n").agg(F.sum(F.least("c", F.coalesce("t", F.lit(0)))).alias("m"), F.sum("c").alias("k"))
     score = match.groupBy(*by).agg(F.exp(F.sum(F.log(F.col("m") / F.col("k"))) / 4).alias("p"), F.min("m").alias("least"), F.count("*").alias("orders"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.functions.text import has_loop, numbers, review_sentences, review_tokens, stripped, years
+from prosemill.functions.text import has_loop, let, numbers, review_sentences, review_tokens, stripped, years
 from prosemill.operators.corpus import DISAMBIGUATION
 
 BUCKETS = ((0, 60), (60, 120), (120, 250), (250, None))
@@ -24,7 +24,7 @@ def describe_system(rows: DataFrame, *by: str) -> DataFrame:
     p, s = F.col("prediction"), F.col("source")
     pw, ps = F.size("p_words"), F.size(review_sentences(p))
     sw, ss = F.size("s_words"), F.size(review_sentences(s))
-    inside = F.size(F.filter("p_words", lambda t: F.array_contains("s_words", t)))
+    inside = let(F.col("s_words"), lambda s: F.size(F.filter("p_words", lambda t: F.array_contains(s, t))))
     new = lambda f: F.size(F.array_except(f(p), f(s))) > 0
     rows = rows.withColumn("p_words", review_tokens(p)).withColumn("s_words", review_tokens(s)).select(
         *by,
@@ -93,7 +93,7 @@ def collect_examples(rows: DataFrame, k: int) -> DataFrame:
     p, s = F.col("prediction"), F.col("source")
     sw, pw = review_tokens(s), review_tokens(p)
     content = F.filter(pw, lambda t: F.length(t) > 3)
-    novel = F.size(F.filter(content, lambda t: ~F.array_contains(sw, t))) / F.size(content) > 0.4
+    novel = let(sw, lambda known: F.size(F.filter(content, lambda t: ~F.array_contains(known, t)))) / F.size(content) > 0.4
     cases = {
         "introduced_year": F.size(F.array_except(years(p), years(s))) > 0,
         "returned_source_unchanged": stripped(s) == stripped(p),

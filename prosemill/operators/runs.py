@@ -152,7 +152,8 @@ def rewriting(entries: DataFrame, before: str, after: str, *by: str) -> DataFram
     distinct tokens.
     """
     rows = entries.select(*by, F.monotonically_increasing_id().alias("row"), review_tokens(F.col(before)).alias("a"), review_tokens(F.col(after)).alias("b"))
-    sides = F.array(*[F.transform(c, lambda t, i=i: F.struct(F.lit(i).alias("side"), t.alias("token"))) for i, c in enumerate(("a", "b"))])
+    side = lambda c, i: F.transform(c, lambda t: F.struct(F.lit(i).alias("side"), t.alias("token")))
+    sides = F.array(side("a", 0), side("b", 1))
     tokens = rows.select(*by, "row", F.explode(F.flatten(sides)).alias("x"))
     each = tokens.groupBy(*by, "row", "x.token").agg(F.count_if(F.col("x.side") == 0).alias("n"), F.count_if(F.col("x.side") == 1).alias("m"))
     sums = each.groupBy(*by).agg(

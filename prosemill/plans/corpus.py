@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.functions.text import collapsed, overlap_norm, sha16
+from prosemill.functions.text import collapsed, ngrams, overlap_norm, sha16
 from prosemill.operators import corpus as op
 from prosemill.operators.audit import hash_sample
 from prosemill.plans import sql as q
@@ -97,13 +97,8 @@ def benchmark_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items.withColumn("k", F.least(F.size(words) - 2, F.lit(8))).where("k > 0")
     items = items.withColumn("head", F.array_join(F.slice(words, F.lit(2), F.col("k")), " "))
     sizes = sorted(r.k for r in items.select("k").distinct().collect())  # at most eight
-    tokens = F.split("n", " ")
-    grams = [
-        F.transform(F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - (k - 1))).otherwise(F.array().cast("array<int>")), lambda i, k=k: F.array_join(F.slice(tokens, i, k), " "))
-        for k in sizes
-    ]
-    heads = docs.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("head"))
-    met = heads.join(items, "head").select("doc_id", "item_id", "m")
+    grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.split("n", " "), k) for k in sizes])))
+    met = docs.select("doc_id", F.explode(grams).alias("head")).join(items, "head").select("doc_id", "item_id", "m")
     return met.join(docs, "doc_id").where(F.contains("n", "m")).select("doc_id", "item_id").distinct()
 
 

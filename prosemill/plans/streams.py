@@ -18,8 +18,8 @@ def streamed_retractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(DISTINCT k) AS sessions, count(*) AS events FROM s GROUP BY user_id""")
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = op.drained(op.sessions(op.source(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", "6 hours", "40 days"), "update")
-    last = s.groupBy("user_id", "start").agg(F.max_by("n", "_batch").alias("n"))
+    s = op.drained(op.sessions(op.source(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", "6 hours", "40 days"), "complete")
+    last = s.join(F.broadcast(s.agg(F.max("_batch").alias("_batch"))), "_batch")  # one row
     return last.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 

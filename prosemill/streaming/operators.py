@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 STALE_SECONDS = 15
 BATCH_SIZE, BATCH_SECONDS = 8, 0.1
@@ -30,9 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of files."""
-    path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern may name one file
+    return rows.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else c for c, t in rows.dtypes])
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -41,17 +42,17 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     folder = shared_folder(spark)
 
+    schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/out/none")
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/_part={number}")
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/b{number}")
 
     (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
         .foreachBatch(write).start().awaitTermination()
     )
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType(stream.schema.fields).add("_batch", LongType())
-    return spark.read.schema(schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    return spark.read.schema(schema).parquet(f"{folder}/out/*")
 
 
 def latest(rows: DataFrame, *keys: str) -> DataFrame:
