@@ -8,22 +8,46 @@ from pyspark.sql import functions as F
 PROSE_WORDS, LABEL_WORDS = 12, 8
 
 
-def latency_summary(samples: DataFrame, value: str, *by: str) -> DataFrame:
-    """Median (interpolated), mean, p95, maximum and minimum; p95 is the sorted value at
-    min(n - 1, floor(0.95 n)).
+def order_statistics(rows: DataFrame, by: list[str], value: str, targets: dict[str, tuple[float, Column]]) -> DataFrame:
+    """Exact values at sorted places: targets name a share and the place (from 0) near it, as a
+    column of the group's size n.
 
-    Only (value, how often) reaches the ordering, so a group's size is that of its distinct values.
+    A sketch brackets each place between two values of the group a few thousandths apart; only what
+    lies between them is counted by value and ordered, so no group is ever sorted or held whole.
     """
-    each = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("k").over(part.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("k").over(part)
-    placed = each.withColumn("upto", upto).withColumn("n", n)
-    at = F.least(F.col("n"), F.floor(0.95 * F.col("n")) + 1)
-    return placed.groupBy(*by).agg(
-        F.first("n").alias("n"), F.percentile("v", F.lit(0.5), F.col("k")).alias("median"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"),
-        F.min(F.when(F.col("upto") >= at, F.col("v"))).alias("p95"), F.max("v").alias("max"), F.min("v").alias("min"),
-    )
+    v = F.col(value)
+    names = list(targets)
+    shares = [x for name in names for x in (max(0.0, targets[name][0] - 0.002), min(1.0, targets[name][0] + 0.002))]
+    head = rows.groupBy(*by).agg(F.count(v).alias("n"), F.percentile_approx(v, [float(x) for x in shares], 10_000).alias("b"))
+    near = rows.join(head, by) if by else rows.crossJoin(head)  # one row
+    low, high = lambda i: F.col("b")[2 * i], lambda i: F.col("b")[2 * i + 1]
+    below = near.groupBy(*by).agg(*[F.count_if(v < low(i)).alias(f"below{i}") for i in range(len(names))])
+    inside = F.filter(F.array(*[F.when(v.between(low(i), high(i)), F.lit(i)) for i in range(len(names))]), lambda x: x.isNotNull())
+    kept = near.select(*by, v.alias("v"), F.explode(inside).alias("i")).groupBy(*by, "i", "v").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(*by, "i").orderBy("v"))
+    placed = kept.withColumn("upto", upto)
+    facts = head.select(*by, "n").join(below, by) if by else head.select("n").crossJoin(below)
+    placed = placed.join(facts, by) if by else placed.crossJoin(facts)
+    found = [
+        F.min(F.when((F.col("i") == i) & (F.col(f"below{i}") + F.col("upto") > targets[name][1]), F.col("v"))).alias(name) for i, name in enumerate(names)
+    ]
+    return placed.groupBy(*by, "n").agg(*found)
+
+
+def latency_summary(samples: DataFrame, value: str, *by: str) -> DataFrame:
+    """Median (interpolated), mean, p95, maximum and minimum; p95 is the sorted value at
+    min(n - 1, floor(0.95 n)). All are exact."""
+    rows = samples.where(F.col(value).isNotNull()).select(*by, value)
+    n = F.col("n")
+    places = {
+        "_low": (0.5, F.floor((n - 1) / 2)),
+        "_high": (0.5, F.floor(n / 2)),
+        "p95": (0.95, F.least(n - 1, F.floor(0.95 * n))),
+    }
+    order = order_statistics(rows, list(by), value, places)
+    rest = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"))
+    both = order.join(rest, list(by)) if by else order.crossJoin(rest)  # one row each
+    return both.select(*by, "n", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "mean", "p95", "max", "min")
 
 
 def token_lengths(samples: DataFrame, value: str, *by: str) -> DataFrame:

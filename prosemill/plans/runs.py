@@ -231,3 +231,11 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id, turn, json_object('conv_id', conv_id, 'turn', turn, 'role', role) AS json FROM conversations""")
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("json"))
+
+
+@query()
+def log_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readability of the run log, with the log's own sentence rules."""
+    from prosemill.functions.log_sentences import log_sentences
+
+    return runs.readability(table(spark, sf_dir, "conversations"), "text", log_sentences, "role")

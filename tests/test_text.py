@@ -96,3 +96,20 @@ def test_corpus_predicates(spark):
         corpus.is_damaged(F.col("x"), "other")
     assert one(spark, normalise.with_full_stop, "history ") == "history." and one(spark, normalise.tidy, "a , b .") == "a, b."
     assert one(spark, normalise.opening_separator, ": he said", "she said") == ": she said"
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("Open at approximately 6 a.m. on Tuesdays. Call us.", ["Open at approximately 6 a.m. on Tuesdays.", "Call us."]),
+        ("We met at 6 a.m. Collections finish at noon.", ["We met at 6 a.m.", "Collections finish at noon."]),
+        ("Dr. Patel and J. Smith saw the U.S. Government.", ["Dr. Patel and J. Smith saw the U.S. Government."]),
+        ("6. Put the bins out! Then rest? Yes.", ["6. Put the bins out!", "Then rest?", "Yes."]),
+        ("no stop at all", ["no stop at all"]),
+        ("", []),
+    ],
+)
+def test_log_sentences(spark, given, want):
+    from prosemill.functions.log_sentences import log_sentences
+
+    assert one(spark, log_sentences, given) == want
