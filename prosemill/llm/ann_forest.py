@@ -25,7 +25,8 @@ from prosemill.llm.common import pick
 TREES, SYMBOLS = 64, 3
 SHARD, QUERIES = 8192, 4096
 #: Different candidates that a query ascends for: this share of the shard, and so many at least.
-#: Of 10,256 and 51,282 random unit vectors of 64 dimensions 0.28 finds over 0.95 of the nearest 20.
+#: With whole symbols as steps that comes to 0.34 of the rows, and finds 0.97 of the nearest 20 among
+#: 10,256 unit vectors of 64 dimensions and 0.99 among 51,282 (measured against brute force).
 SHARE, LEAST = 0.28, 400
 SEED = 11
 
