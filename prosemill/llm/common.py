@@ -17,7 +17,11 @@ GOLDEN = 0x9E3779B97F4A7C15
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table, dealt to all cores where its files have fewer splits than there are cores; larger
+    tables are read as they lie."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def scratch(spark: SparkSession) -> str:
