@@ -3,9 +3,10 @@
 One pass of the standard library's parser turns a page into blocks (the lines of the page: text
 between block-level tags) and counts text and tags in each. Blocks inside elements that never hold
 an article (menus, footers, adverts, forms, comments ...) are out. The text-to-tag ratios of the
-blocks, smoothed by a Gaussian, are split into two clusters; the element that holds most of the
-upper cluster's text, and no more than one article's worth of wrappers, is the content region, and
-all of its blocks that are not out are the text.
+blocks, smoothed by a Gaussian, are split into two clusters. The article or main element of most of
+the upper cluster's text is the content region; without one it is the smallest element that holds
+all of the upper cluster, with the blocks beside it up to the next list of links. All of the
+region's blocks that are not out are the text.
 """
 
 from __future__ import annotations
@@ -49,9 +50,8 @@ _OUT = re.compile(
 )
 _SPACES = re.compile(r"\s+")
 _CONTENT = ("article", "main")
-#: Width of the smoothing, in blocks, and how much of a child's share of content text is enough to
-#: go on into that child.
-SIGMA, ENOUGH = 1.0, 0.9
+#: Width of the smoothing, in blocks.
+SIGMA = 1.0
 
 
 class Blocks(HTMLParser):
@@ -63,16 +63,18 @@ class Blocks(HTMLParser):
         self.names: list[str] = []
         self.parent: list[int] = []
         self.blocks: list[tuple[str, int, int]] = []
+        self.links: list[bool] = []  # whether most of a block's text is in links
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def flush(self) -> None:
         if self.text:
             joined = _SPACES.sub(" ", "".join(self.text)).strip()
             if joined:
                 self.blocks.append((joined, self.tags, self.holder))
+                self.links.append(2 * self.linked > len(joined))
             self.text = []
-            self.tags = 0
+            self.tags = self.linked = 0
 
     @property
     def holder(self) -> int:
@@ -134,6 +136,8 @@ class Blocks(HTMLParser):
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][2]):
             self.text.append(data)
+            if any(name == "a" for name, _, _ in self.stack):
+                self.linked += len(data.strip())
 
 
 def _two_means(x: np.ndarray) -> np.ndarray:
@@ -177,24 +181,51 @@ def extract(html: str) -> str:
                 break
             at = parser.parent[at]
     total = mass[-1]
-    # the article or main element of most content text; else down from the top as long as one
-    # child holds nearly all of it
+    # the article or main element of most content text; without one the
+    # smallest element that holds all of it, links aside, and what stands beside that
     named = [n for n in mass if n >= 0 and parser.names[n] in _CONTENT and mass[n] >= total / 3]
     if named:
         region = max(named, key=lambda n: (parser.names[n] == "article", mass[n], -n))
-    else:
-        region = -1
-        inner = [n for n in mass if n >= 0 and parser.names[n] in SCOPE | {"td"} and mass[n] >= ENOUGH * total]
-        if inner:
-            region = max(inner)
-    kept = []
-    for text, _, holder in blocks:
-        at = holder
+        return " ".join([t for (t, _, _), keep in zip(blocks, _within(parser, region), strict=True) if keep])
+    core = np.flatnonzero(chosen & ~np.array(parser.links))
+    if not len(core):
+        core = np.flatnonzero(chosen)
+    inside = np.zeros(len(blocks), bool)
+    inside[core[0] : core[-1] + 1] = True
+    held: dict[int, int] = {}
+    for i in core:
+        at = blocks[i][2]
+        while at >= 0:
+            held[at] = held.get(at, 0) + 1
+            at = parser.parent[at]
+    around = [n for n, k in held.items() if k == len(core) and parser.names[n] in SCOPE - {"html", "body"} | {"td"}]
+    if around:
+        inside |= _within(parser, max(around))
+    here = np.flatnonzero(inside)
+    for edge, step in ((here[0], -1), (here[-1], 1)):
+        _extend(inside, parser.links, int(edge), step)
+    return " ".join([t for (t, _, _), keep in zip(blocks, inside, strict=True) if keep])
+
+
+def _within(parser: Blocks, region: int) -> np.ndarray:
+    """Whether each block lies in the element."""
+    out = np.zeros(len(parser.blocks), bool)
+    for i, (_, _, at) in enumerate(parser.blocks):
         while at != region and at >= 0:
             at = parser.parent[at]
-        if at == region:
-            kept.append(text)
-    return " ".join(kept)
+        out[i] = at == region
+    return out
+
+
+def _extend(inside: np.ndarray, links: list[bool], edge: int, step: int) -> None:
+    """Blocks beyond the edge are inside too, up to two blocks of links in a row or links at the end:
+    one between others, such as a byline, is part of the text."""
+    at = edge + step
+    while 0 <= at < len(links):
+        if links[at] and not (0 <= at + step < len(links) and not links[at + step]):
+            break
+        inside[at] = True
+        at += step
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -61,3 +61,22 @@ def test_edges(spark):
     got = sorted((r.n_chars, r.text[:9]) for r in extract_pages(df).collect())
     assert got == [(0, ""), (0, ""), (1, "x"), (4 + 5 * 20_000, "deep word")]
     assert extract_pages(df.where("false")).count() == 0
+
+
+L = "<p>" + "Long text of the body that goes on. " * 200 + "</p>"
+B = " ".join(["Long text of the body that goes on."] * 200)
+LINKS = "<ul><li><a href=a>Home</a><li><a href=b>About us</a><li><a href=c>Contact</a></ul>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><h1>Title</h1><div>{L}</div></body>", f"Title {B}"),
+        (f"<body><h1>Title</h1><p>A lead.</p><div>{L}{L}</div><p>The end.</p></body>", f"Title A lead. {B} {B} The end."),
+        (f"<body>{LINKS}<h1>Title</h1><div><p>A lead of some more words.</p></div><div>{L}</div>{LINKS}</body>", f"Title A lead of some more words. {B}"),
+        (f"<body>{LINKS}<h2>Title</h2><p><a>An Author</a></p><div>{L}{L}</div><footer>foot</footer></body>", f"Title An Author {B} {B}"),
+        (f"<body><div><h1>Title</h1></div><div>{L}</div><div>{P}</div></body>", f"Title {B} {T}"),
+    ],
+)
+def test_pages_without_article(html, text):
+    assert extract(html) == text
