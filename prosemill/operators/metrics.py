@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,34 +138,73 @@ def corpus_bleu(rows: DataFrame, *by: str) -> DataFrame:
     return both.select(*by, F.when((F.col("least") > 0) & (F.col("orders") == 4), 100 * bp * F.col("p")).otherwise(F.lit(0.0)).alias("bleu"))
 
 
-def resample_counts(spark, n: int, resamples: int, seed: int) -> DataFrame:
-    """(resample, idx, times): draws with replacement of n indices by random.Random(seed), made on
-    the driver; n is the size of an evaluation set, never of a corpus."""
-    rng = random.Random(seed)
-    rows = []
-    for k in range(resamples):
-        times: dict[int, int] = {}
-        for _ in range(n):
-            i = rng.randrange(n)
-            times[i] = times.get(i, 0) + 1
-        rows += [(k, i, t) for i, t in times.items()]
-    return spark.createDataFrame(rows, "resample int, idx long, times int")
-
-
-def paired_bootstrap(scores: DataFrame, draws: DataFrame) -> DataFrame:
-    """scores (idx, a, b) of a metric that is a mean over rows: difference a - b and p, the share of
-    resamples in which a isn't larger (ties aren't wins); p is 1 without rows."""
-    each = draws.join(scores, "idx").groupBy("resample").agg(F.sum(F.col("times") * (F.col("a") - F.col("b"))).alias("d"))
-    p = each.agg((1 - F.count_if(F.col("d") > 0) / F.nullif(F.count("*"), F.lit(0))).alias("p"), F.count("*").alias("resamples"))
+#: Up to so many rows a bootstrap draws by random.Random, as its description does; above, and in
+#: blocks of about so many rows, by numpy's generators.
+BLOCK = 2048
+
+
+def block_times(block: int, sizes: list[int], resamples: int, seed: int) -> np.ndarray:
+    """(resamples, rows of the block): how often each resample draws each row. A resample draws as
+    many rows as all blocks hold, with replacement; a block finds its share of them by halving."""
+    n = sum(sizes)
+    if len(sizes) == 1 and n <= BLOCK:
+        rng = random.Random(seed)
+        return np.stack([np.bincount([rng.randrange(n) for _ in range(n)], minlength=n) for _ in range(resamples)])
+    low, high, node = 0, len(sizes), 1
+    draws = np.full(resamples, n)
+    while high - low > 1:
+        mid = (low + high) // 2
+        a, b = sum(sizes[low:mid]), sum(sizes[mid:high])
+        first = np.random.default_rng([seed, 0, node]).binomial(draws, a / (a + b) if a + b else 0.5)
+        draws, low, high, node = (first, low, mid, 2 * node) if block < mid else (draws - first, mid, high, 2 * node + 1)
+    size = sizes[block]
+    return np.random.default_rng([seed, 1, block]).multinomial(draws, np.full(size, 1 / size))
+
+
+def resampled(rows: DataFrame, idx: DataFrame, width: int, resamples: int, seed: int) -> DataFrame:
+    """(resample, sums): the sums, over each resample, of rows' (idx, values array<double> of
+    that width); idx holds all indices once, and rows without values count as zeros."""
+    n = idx.count()
+    blocks = -(-n // BLOCK) or 1
+    block = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("block")
+    sizes = [0] * blocks
+    for b, k in idx.groupBy(block).count().collect():
+        sizes[b] = k
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("idx")
+        values = np.array(part.column("values").to_pylist(), np.float64)
+        sums = block_times(part.column("block")[0].as_py(), sizes, resamples, seed) @ values
+        return pa.table([pa.array(range(resamples), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["resample", "sums"])
+
+    zeros = F.array_repeat(F.lit(0.0), width)
+    full = idx.select("idx").join(rows, "idx", "left").select(block, "idx", F.coalesce("values", zeros).alias("values"))
+    each = full.groupBy("block").applyInArrow(run, "resample int, sums array<double>")
+    long = each.select("resample", F.posexplode("sums").alias("i", "x")).groupBy("resample", "i").agg(F.sum("x").alias("x"))
+    return long.groupBy("resample").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("sums"))
+
+
+def paired_bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """scores (idx, a, b), each idx once, of a metric that is a mean over rows: difference a - b and
+    p, the share of resamples in which a isn't larger (ties aren't wins); p is 1 without rows."""
+    each = resampled(scores.select("idx", F.array(F.col("a") - F.col("b")).alias("values")), scores.select("idx"), 1, resamples, seed)
+    p = each.agg((1 - F.count_if(F.col("sums")[0] > 0) / F.nullif(F.count("*"), F.lit(0))).alias("p"), F.count("*").alias("resamples"))
     mean = scores.agg(F.count("*").alias("n"), F.avg(F.col("a") - F.col("b")).alias("delta"))
     return mean.crossJoin(p).select("n", "delta", "resamples", F.coalesce("p", F.lit(1.0)).alias("p"))  # one row each
 
 
-def paired_bootstrap_sari(a: DataFrame, b: DataFrame, draws: DataFrame) -> DataFrame:
+def paired_bootstrap_sari(a: DataFrame, b: DataFrame, idx: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """For SARI, which isn't a mean over rows: statistics of both systems (idx, n, sums) are weighted
-    and summed again in each resample. Mean difference, its 2.5 and 97.5 percentiles and p."""
+    and summed again in each resample of idx. Mean difference, its 2.5 and 97.5 percentiles and p."""
     both = a.withColumn("sys", F.lit("a")).unionByName(b.withColumn("sys", F.lit("b")))
-    weighted = both.join(draws, "idx").select("sys", "resample", "n", *[(F.col(x) * F.col("times")).alias(x) for x in SARI_SUMS])
+    cells = [(sys, n) for sys in "ab" for n in ORDERS]
+    values = [F.coalesce(F.sum(F.when((F.col("sys") == sys) & (F.col("n") == n), F.col(x))), F.lit(0)).cast("double") for sys, n in cells for x in SARI_SUMS]
+    each = resampled(both.groupBy("idx").agg(F.array(*values).alias("values")), idx, len(values), resamples, seed)
+    k = len(SARI_SUMS)
+    parts = [
+        F.struct(F.lit(sys).alias("sys"), F.lit(n).alias("n"), *[F.col("sums")[i * k + j].alias(x) for j, x in enumerate(SARI_SUMS)]) for i, (sys, n) in enumerate(cells)
+    ]
+    weighted = each.select("resample", F.explode(F.array(*parts)).alias("x")).select("resample", "x.*")
     d = sari_from(weighted, ["sys", "resample"]).groupBy("resample").agg((F.max(F.when(F.col("sys") == "a", F.col("sari"))) - F.max(F.when(F.col("sys") == "b", F.col("sari")))).alias("d"))
     return d.agg(
         F.avg("d").alias("delta"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"),
@@ -176,4 +217,4 @@ def seed_summary(scores: DataFrame, *by: str) -> DataFrame:
     return scores.groupBy(*by).agg(F.avg("value").alias("mean"), F.when(F.count("*") > 1, F.stddev_pop("value")).alias("deviation"), F.count("*").alias("runs"))
 
 
-__all__ = ["corpus_bleu", "corpus_sari", "document_sari", "paired_bootstrap", "paired_bootstrap_sari", "resample_counts", "sari_statistics", "seed_summary"]
+__all__ = ["corpus_bleu", "corpus_sari", "document_sari", "paired_bootstrap", "paired_bootstrap_sari", "resampled", "sari_statistics", "seed_summary"]

@@ -137,11 +137,11 @@ def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-SARI of the stub against copies of the source, 200 resamples of a 100-row evaluation set."""
+    """D-SARI of the stub against copies of the source, 1000 resamples of all rows."""
     rows = _evaluation_set(spark, sf_dir)
     a = metrics.document_sari(rows).select("idx", F.col("d_sari").alias("a"))
     b = metrics.document_sari(rows.withColumn("candidate", F.col("source"))).select("idx", F.col("d_sari").alias("b"))
-    return metrics.paired_bootstrap(a.join(b, "idx"), metrics.resample_counts(spark, 100, 200, 42))
+    return metrics.paired_bootstrap(a.join(b, "idx"))
 
 
 @query()
@@ -149,15 +149,17 @@ def paired_bootstrap_sari(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _evaluation_set(spark, sf_dir)
     a = metrics.sari_statistics(rows, ["idx"])
     b = metrics.sari_statistics(rows.withColumn("candidate", F.col("source")), ["idx"])
-    return metrics.paired_bootstrap_sari(a, b, metrics.resample_counts(spark, 100, 200, 42))
+    return metrics.paired_bootstrap_sari(a, b, rows.select("idx"))
 
 
 def _evaluation_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100 rows with indices from 0: what a bootstrap resamples is a set of given size."""
+    """All rows, each with an index of its own: turns may share a number."""
     from pyspark.sql import Window
 
-    first = scored(spark, sf_dir).orderBy("idx").limit(100)
-    return first.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("idx")).cast("long") - 1)
+    rows = scored(spark, sf_dir)
+    order = Window.partitionBy("conv_id").orderBy("idx", "source", "references", "candidate")
+    number = F.row_number().over(order)
+    return rows.withColumn("idx", F.shiftleft(F.coalesce("conv_id", F.lit(-(2**30))).cast("long"), 32) + number)
 
 
 @query("""SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, count(*) AS runs FROM events GROUP BY event_type""")
