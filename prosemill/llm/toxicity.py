@@ -1,15 +1,18 @@
 """Toxicity by compression distance: which of two zstandard dictionaries tells a window shorter.
 
-Windows are words. One dictionary is trained on words of ordinary documents, the other on the parts
-of toxic documents' words that are made of letter sequences many times more frequent, by documents,
-in toxic than in ordinary text; without that choice both would be dictionaries of one language. A
-window's cell is the bytes it takes after either dictionary. Labelled documents that the dictionaries
-were not trained on calibrate: a cell's weight is the log-odds of toxic against ordinary documents
-that hold such a window, for rare cells that of all windows whose lengths differ at least as much.
-zstandard stores inputs of a few bytes as they are and never matches the last ones, so a constant
-text that ends both dictionaries goes before and after each window and costs both the same.
-A document's evidence is the largest weight of its windows; the score is a logistic curve of it
-that passes the threshold where fewest calibrating documents are on the wrong side.
+Dictionaries are trained by zstandard's COVER algorithm on the words of ordinary and of toxic
+documents, whole texts of both, in several sizes and segment lengths: a small dictionary keeps only
+what is frequent in its class. Windows are words with their spaces. A window's cell, for a pair of
+dictionaries, is its length and the bytes it takes after either. zstandard never matches the last
+bytes of an input, so a constant text that ends all dictionaries goes before and after each window
+and costs the same everywhere.
+
+A cell's weight is the log-odds of toxic against ordinary documents that hold such a window. Weights
+and all that follows come from documents that the dictionaries were not trained on, in turns
+(cross-fitting). A document's evidence is what its windows' weights say together, for each pair: the
+largest, the means of the largest few, the sum and the number of the positive ones. A ridge logistic
+regression over these gives the score, moved so that it passes the threshold where fewest documents
+are on the wrong side.
 """
 
 from __future__ import annotations
@@ -32,22 +35,28 @@ from prosemill.llm.common import parts_of, pick, texts_in
 #: The model is fitted on so many labelled documents of each class at most, of at most so many
 #: characters each, chosen by a hash of doc_id. Scores always cover whole texts.
 TOXIC_SAMPLE, ORDINARY_SAMPLE, LONGEST_SAMPLE = 1500, 4000, 20_000
-#: Every n-th fitted document is left out of the dictionaries and calibrates.
-CALIBRATING = 3
-TOXIC_BYTES, ORDINARY_BYTES = 16 << 10, 110 << 10
-GRAMS = (4, 5, 6)
-#: A letter sequence is telling if its share of toxic documents is so many times that of ordinary
-#: ones (half a document more) and it is in enough toxic documents.
-TELLING, LEAST_DOCUMENTS, LEAST_SHARE = 50.0, 3, 0.02
-LEVEL = 19
+#: Dictionaries: bytes, and COVER's segment and sequence lengths; for a toxic one also the number of
+#: the ordinary one that it is held against.
+ORDINARY = ((110 << 10, 64, 8), (110 << 10, 16, 6))
+TOXIC = ((32 << 10, 64, 8, 0), (32 << 10, 16, 6, 1), (8 << 10, 16, 8, 0), (2 << 10, 16, 8, 0), (4 << 10, 16, 6, 1))
+LEVEL = 12
+FOLDS = 4
+RIDGE = 5.0
 AROUND = b"<0123456789|a window of text|9876543210>"
 THRESHOLD = 0.3
-NO_WINDOW = 9.0
-MARGINS = 16
-REMEMBERED = 300_000
-#: A cell needs so many calibrating documents for a weight of its own.
-SEEN = 4
+#: A cell needs so many fitted documents for a weight; others weigh nothing.
+SEEN = 3
+#: Evidence of a pair: the largest weight and means of so many largest, then three sums and the mean.
+LARGEST = (1, 2, 4, 8, 16)
+WIDTH = len(LARGEST) + 4
+#: Words that a worker remembers.
+REMEMBERED = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
+#: The shortest sample that COVER takes.
+_SAMPLE = 8
+
+Cell = tuple[int, int, int]
+Dictionaries = tuple[tuple[bytes, ...], tuple[bytes, ...]]
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -58,135 +67,161 @@ def windows(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _covered(word: str, telling: set[str]) -> list[str]:
-    """The stretches of a word that telling sequences cover."""
-    inside = [False] * (len(word) + 1)
-    for n in GRAMS:
-        for i in range(len(word) - n + 1):
-            if word[i : i + n] in telling:
-                inside[i : i + n] = [True] * n
-    out, start = [], None
-    for i, x in enumerate(inside):
-        if x and start is None:
-            start = i
-        elif not x and start is not None:
-            out.append(word[start:i])
-            start = None
-    return out
-
-
-def _trained(words: list[str], size: int) -> bytes:
-    """A dictionary of at most ``size`` bytes: the words themselves if they fit; else zstandard's
-    COVER chooses for one half, and the most frequent words are the other, at the end, where
-    references are shortest."""
-    count = Counter(words)
-    by_count = sorted(count, key=lambda w: (count[w], w))
-    listed = "".join(by_count).encode()
-    if len(listed) <= size:
-        return listed
-    listed = listed[-size // 2 :]
-    samples = [w.encode() for w in by_count for _ in range(min(count[w], 8))]
+def _trained(texts: list[str], size: int, k: int, d: int) -> bytes:
+    """A dictionary of at most ``size`` bytes; of little text, the text itself. Words with a sequence
+    of d bytes are samples, filled with spaces to the length that COVER needs."""
+    samples = [s.ljust(_SAMPLE) for t in texts for w in windows(t) if len(s := f" {w} ".encode()) >= d]
     try:
-        trained = zstandard.train_dictionary(size - len(listed), samples, k=64, d=6, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=k, d=d, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        trained = b""
-    content = trained[trained.find(b" ") :] if trained else b""
-    return (content + listed)[-size:]
+        return b"".join(dict.fromkeys(f" {w} ".encode() for t in texts for w in windows(t)))[-size:]
+
+
+def dictionaries(ordinary: list[str], toxic: list[str]) -> Dictionaries:
+    return tuple(_trained(ordinary, *x) for x in ORDINARY), tuple(_trained(toxic, *x[:3]) for x in TOXIC)
+
+
+class Compressors:
+    """Bytes that a word takes after each dictionary."""
+
+    def __init__(self, of: Dictionaries):
+        self.all = [[self._one(d) for d in side] for side in of]
+
+    @staticmethod
+    def _one(content: bytes) -> zstandard.ZstdCompressor:
+        primed = zstandard.ZstdCompressionDict(content + AROUND, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def cells(self, words: list[str]) -> list[list[Cell]]:
+        """The words' cells, for each pair of dictionaries."""
+        own = [f" {w} ".encode() for w in words]
+        data = [AROUND + x + AROUND for x in own]
+        a, b = ([[len(x) for x in map(c.compress, data)] for c in side] for side in self.all)
+        return [list(zip(map(len, own), a[x[3]], taken, strict=True)) for taken, x in zip(b, TOXIC, strict=True)]
+
+
+def together(weights: np.ndarray) -> np.ndarray:
+    """The evidence of a document from its windows' weights (windows x pairs)."""
+    n = len(weights)
+    most = min(n, LARGEST[-1])
+    top = -np.sort(-(np.partition(weights, n - most, axis=0)[n - most :] if n > most else weights), axis=0)
+    sums = np.cumsum(top, axis=0)
+    largest = [sums[min(k, n) - 1] / min(k, n) for k in LARGEST]
+    positive = np.log1p(np.where(weights > 0.5, weights, 0).sum(axis=0))
+    return np.concatenate([*largest, positive, np.log1p((weights > 1.5).sum(axis=0)), positive - 0.5 * math.log(n), weights.mean(axis=0)])
 
 
 @dataclass
 class Model:
-    ordinary: bytes = b""
-    toxic: bytes = b""
-    cells: dict[tuple[int, int], float] = field(default_factory=dict)
-    margins: list[float] = field(default_factory=lambda: [0.0])
+    of: Dictionaries = ((), ())
+    weights: list[dict[Cell, float]] = field(default_factory=list)
+    slopes: list[float] = field(default_factory=list)
     bias: float = -6.0
-    slope: float = 0.0
-    _known: dict = field(default_factory=dict, repr=False)
-    _pair: tuple | None = field(default=None, repr=False)
+    _known: dict = field(default_factory=dict, repr=False, compare=False)
+    _table: list = field(default_factory=list, repr=False, compare=False)
+    _compressors: Compressors | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k[0] != "_"} | {"_known": {}, "_pair": None}
-
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-        if not self._pair:
-            self._pair = tuple(
-                zstandard.ZstdCompressor(
-                    level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
-                    dict_data=zstandard.ZstdCompressionDict(d + AROUND, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-                )
-                for d in (self.ordinary, self.toxic)
-            )
-        return self._pair
-
-    def cell(self, word: str) -> tuple[int, int]:
-        """Bytes that the window takes after the ordinary and after the toxic dictionary."""
-        a, b = self.compressors()
-        data = AROUND + f" {word} ".encode() + AROUND
-        return len(a.compress(data)), len(b.compress(data))
-
-    def weight(self, cell: tuple[int, int]) -> float:
-        own = self.cells.get(cell)
-        return own if own is not None else self.margins[max(0, min(len(self.margins) - 1, cell[0] - cell[1]))]
-
-    def evidence(self, text: str) -> float:
-        """The largest weight of the text's windows; without any, the least there is."""
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"} | {"_known": {}, "_table": [], "_compressors": None}
+
+    def _number(self, words: list[str]) -> list[int]:
+        """Each word's row in the table of weights."""
         known = self._known
-        words = set(windows(text))
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in words.difference(known):
-            known[w] = self.weight(self.cell(w))
-        return max(map(known.__getitem__, words), default=-NO_WINDOW)
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                self._table.clear()
+                new = list(dict.fromkeys(words))
+            if not self._compressors:
+                self._compressors = Compressors(self.of)
+            at = sum(map(len, self._table))
+            columns = [[w.get(c, 0.0) for c in cells] for w, cells in zip(self.weights, self._compressors.cells(new), strict=True)]
+            self._table.append(np.array(columns, np.float32).T)
+            known.update(zip(new, range(at, at + len(new)), strict=True))
+        return [known[w] for w in words]
 
-    def score(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * evidence))))
+    def evidence(self, texts: list[str]) -> list[np.ndarray | None]:
+        """What the windows of each text say together; None without any window."""
+        words = [windows(t) if self.weights else [] for t in texts]
+        first = np.cumsum([0, *map(len, words)])
+        at = np.array(self._number([w for x in words for w in x]), np.int64)
+        table = np.concatenate(self._table) if self._table else np.zeros((0, 0), np.float32)
+        self._table = [table] if len(table) else []
+        return [together(table[at[a:b]].astype(np.float64)) if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def scores(self, texts: list[str]) -> list[float]:
+        """The probability that a text is toxic; the least there is without any window."""
+        out = []
+        for x in self.evidence(texts):
+            logit = -30.0 if x is None and self.slopes else self.bias + (float(np.dot(self.slopes, x)) if x is not None else 0.0)
+            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
+        return out
+
+
+def _odds(held: list[list[set[Cell]]], y: np.ndarray) -> list[dict[Cell, float]]:
+    """For each pair of dictionaries, the weights of the cells that documents hold."""
+    out = []
+    n1, n0 = y.sum(), (1 - y).sum()
+    for j in range(len(TOXIC)):
+        count = Counter(), Counter()
+        for own, label in zip(held, y, strict=True):
+            count[label].update(own[j])
+        out.append({
+            c: math.log((count[1][c] + 0.3) / (n1 + 0.6)) - math.log((count[0][c] + 0.3) / (n0 + 0.6))
+            for c in sorted(count[0].keys() | count[1].keys()) if count[0][c] + count[1][c] >= SEEN
+        })
+    return out
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and bias of a ridge logistic regression, by Newton's steps."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.c_[(x - mean) / scale, np.ones(len(x))]
+    w, ridge = np.zeros(z.shape[1]), np.r_[np.full(x.shape[1], RIDGE), 1e-6]
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
 def fit(labelled: list[tuple[str, int]]) -> Model:
-    """A model from (text, toxic 0/1). Without rows of both classes its scores are all alike."""
-    if len({y for _, y in labelled}) < 2:
+    """A model from (text, toxic 0/1). Without FOLDS texts of both classes its scores are all alike."""
+    labelled = [(t, y) for t, y in dict.fromkeys(labelled) if windows(t)]  # copies say nothing new
+    classes = [[t for t, y in labelled if y == k] for k in (0, 1)]
+    if min(map(len, classes)) < FOLDS:
         return Model()
-    labelled = list(dict.fromkeys(labelled))  # copies say nothing new
-    train = [x for i, x in enumerate(labelled) if i % CALIBRATING] or labelled
-    if len({y for _, y in train}) < 2:
-        train = labelled
-    sets = [[set(windows(t)) for t, y in train if y == k] for k in (0, 1)]
-    grams: list[Counter] = [Counter(), Counter()]
-    for k in (0, 1):
-        for words in sets[k]:
-            grams[k].update({p[i : i + n] for w in words for p in (f" {w} ",) for n in GRAMS for i in range(len(p) - n + 1)})
-    n0, n1 = len(sets[0]), len(sets[1])
-    least = max(LEAST_DOCUMENTS, LEAST_SHARE * n1)
-    telling = {g for g, c in grams[1].items() if c >= least and c / n1 >= TELLING * (grams[0][g] + 0.5) / n0}
-    toxic = [part for words in sets[1] for w in words for part in _covered(f" {w} ", telling)]
-    if not toxic:
-        return Model()
-    model = Model(_trained([f" {w} " for words in sets[0] for w in words], ORDINARY_BYTES), _trained(toxic, TOXIC_BYTES))
-    left = [x for i, x in enumerate(labelled) if not i % CALIBRATING]
-    if len({y for _, y in left}) < 2:
-        left = labelled
-    y = np.array([y for _, y in left])
-    held = [{model.cell(w) for w in set(windows(t))} for t, _ in left]
-    odds = lambda with_: math.log((sum(y[i] for i in with_) + 0.3) / (y.sum() + 0.6)) - math.log(
-        (sum(1 - y[i] for i in with_) + 0.3) / ((1 - y).sum() + 0.6)
-    )
-    by_cell: dict[tuple[int, int], list[int]] = {}
-    for i, own in enumerate(held):
-        for c in own:
-            by_cell.setdefault(c, []).append(i)
-    model.cells = {c: odds(with_) for c, with_ in by_cell.items() if len(with_) >= SEEN}
-    largest = [max((a - b for a, b in own), default=-1) for own in held]
-    model.margins = [odds([i for i, m in enumerate(largest) if m >= k]) for k in range(MARGINS)]
-    model._known.clear()
-    x = np.array([max(map(model.weight, own), default=-NO_WINDOW) for own in held])
-    steps = np.unique(x)
+    cells: list[list[list[Cell]]] = []  # by document and pair, one for each window
+    y, fold = [], []
+    for f in range(FOLDS):
+        compressors = Compressors(dictionaries(*[[t for i, t in enumerate(c) if i % FOLDS != f] for c in classes]))
+        known: dict[str, tuple[Cell, ...]] = {}
+        for label, c in enumerate(classes):
+            for t in c[f::FOLDS]:
+                words = windows(t)
+                new = [w for w in dict.fromkeys(words) if w not in known]
+                known.update(zip(new, zip(*compressors.cells(new), strict=True), strict=True))
+                cells.append([[known[w][j] for w in words] for j in range(len(TOXIC))])
+                y.append(label)
+                fold.append(f)
+    y, fold = np.array(y), np.array(fold)
+    held = [[set(x) for x in own] for own in cells]
+    x = np.zeros((len(y), WIDTH * len(TOXIC)))
+    for f in range(FOLDS):
+        weights = _odds([h for h, g in zip(held, fold, strict=True) if g != f], y[fold != f])
+        for i in np.flatnonzero(fold == f):
+            x[i] = together(np.array([[w.get(c, 0.0) for c in own] for w, own in zip(weights, cells[i], strict=True)]).T)
+    slopes, bias = _logistic(x, y)
+    logit = x @ slopes + bias
+    steps = np.unique(logit)
     cuts = np.concatenate(([steps[0] - 1], (steps[1:] + steps[:-1]) / 2, [steps[-1] + 1]))
-    wrong = np.array([((x > c) != y).sum() for c in cuts])
+    wrong = np.searchsorted(np.sort(logit[y == 1]), cuts) + (y == 0).sum() - np.searchsorted(np.sort(logit[y == 0]), cuts)
     cut = float(cuts[wrong == wrong.min()].mean())
-    model.slope = 1.5
-    model.bias = math.log(THRESHOLD / (1 - THRESHOLD)) - model.slope * cut
-    return model
+    return Model(dictionaries(*classes), _odds(held, y), slopes.tolist(), bias - cut + math.log(THRESHOLD / (1 - THRESHOLD)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
@@ -212,13 +247,13 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     repeated ones keep their rows; other columns are left behind; an empty table gives an empty
     result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries and cells of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in parts_of(batches, "text", 4 << 20):
             ids = batch.column(0).to_pylist()
-            scores = [own.score(own.evidence(t)) for t in texts_in(batch, "text")]
+            scores = own.scores(texts_in(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
 
-from prosemill.llm.toxicity import Model, fit, held_out, score_toxicity, training_rows
+import numpy as np
+
+from prosemill.llm.toxicity import LARGEST, TOXIC, WIDTH, Compressors, Model, dictionaries, fit, held_out, score_toxicity, together, training_rows
 
 SYLLABLES = ["th", "on", "er", "an", "re", "ed", "in", "ou", "ha", "st", "en", "ti"]
 BAD = ["wretched", "vermin", "imbecile", "zqualor"]
@@ -31,9 +34,41 @@ def test_held_out_accuracy(spark):
     test = [r for r in got if r.held_out]
     assert {r.doc_id for r in test} == {i for i in truth if held_out(i)}
     assert sum(r.predicted == truth[r.doc_id] for r in test) / len(test) > 0.95
+    toxic = [r for r in test if truth[r.doc_id]]
+    assert sum(r.predicted for r in toxic) / len(toxic) > 0.85
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_held_out_by_language(spark):
+    """The larger table: marker words in one language, families of rare words in the others."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    got = score_toxicity(docs, fit(training_rows(docs, labels))).where("held_out")
+    rows = got.join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang, recall, precision in (("en", 0.9, 0.95), ("de", 0.5, 0.9), ("fr", 0.6, 0.8)):
+        own = [r for r in rows if r.lang == lang]
+        both = sum(r.predicted and r.toxic for r in own)
+        assert both >= recall * sum(r.toxic for r in own) and both >= precision * sum(r.predicted for r in own), lang
+
+
+def test_small_windows_and_weights():
+    """Evidence against a plain reckoning; cells against single compressions."""
+    rng = random.Random(5)
+    w = np.array([[rng.uniform(-2, 4) for _ in TOXIC] for _ in range(23)])
+    got = together(w).reshape(WIDTH, -1)
+    for j in range(len(TOXIC)):
+        own = sorted(w[:, j], reverse=True)
+        want = [sum(own[:k]) / k for k in LARGEST]
+        positive = math.log1p(sum(v for v in own if v > 0.5))
+        want += [positive, math.log1p(sum(v > 1.5 for v in own)), positive - 0.5 * math.log(23), sum(own) / 23]
+        assert np.allclose(got[:, j], want)
+    assert np.allclose(together(w[:3]).reshape(WIDTH, -1)[3:5, 0], w[:3, 0].mean())
+    of = dictionaries(["the plain words of a text " * 3], ["vermin and wretched things " * 3])
+    many = Compressors(of).cells(["vermin", "plain"])
+    assert [[c[i] for c in many] for i in (0, 1)] == [[c[0] for c in Compressors(of).cells([x])] for x in ("vermin", "plain")]
+    assert all(b < a for _, a, b in (c[0] for c in many)) and all(a < b for _, a, b in (c[1] for c in many))
+
+
 def test_edges(spark):
     model = fit([(t, y) for _, t, y in documents(300, random.Random(2))])
     rows = [(None, "the"), (1, None), (1, ""), (2, "12 !! \n"), (3, "vermin " * 20_000)]
