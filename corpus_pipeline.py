@@ -38,7 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in parts_of(batches, "text", 4 << 20):
-            yield batch.filter(pa.array([own.score(own.evidence(t)) < THRESHOLD for t in texts_in(batch, "text")], pa.bool_()))
+            yield batch.filter(pa.array([s < THRESHOLD for s in own.scores(texts_in(batch, "text"))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
