@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by exact complements.
 
 Only the histogram of piece lengths (at most ``capacity`` counts) reaches the driver. From it a
-plan is made: sums of one, two or three lengths that exactly fill a gap are consumed under their
-availability counts, what is left is packed best-fit decreasing. The plan has one entry for each
-kind of sequence and its count, so its size depends on the capacity alone. Pieces then look up
-their place by their rank among pieces of equal length; ranks come from counts by input partition.
+plan is made: sums of one, two or three lengths that exactly fill a gap are looked up in an index and
+consumed under their availability counts, the residual lengths are packed best-fit. The plan has one
+entry for each kind of sequence and its count, so its size depends on the capacity alone. Pieces then
+look up their place by their rank among pieces of equal length; ranks come from counts by input
+partition, joined by a merge, as that table grows with the partitions.
 """
 
 from __future__ import annotations
@@ -50,15 +51,29 @@ class Encoder:
     """The ids of whole texts, as little-endian unsigned 32-bit numbers.
 
     Words of Latin letters, with one mark after them or none, are one match of the tokenizer's
-    split pattern each and go to its model directly; all else takes the tokenizer's whole way.
+    split pattern each and go to its model directly; all else takes the tokenizer's whole way. So
+    does everything with a tokenizer whose ids differ on the probes.
     """
 
+    PROBES = ("Plain words, and naïve ones: Straße!", " lead  two\n\nlines ; x1 don't I'LL\t.", "", "UPPER?Mixed .end é\u00a0ü  ")
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.memo = Memo(self._words)
-        self.marks = {m: self._piece(m) for m in ".,;:!?"}
+        self.plain = False
+        self.marks = {}
+        try:
+            self.marks = {m: self._piece(m) for m in ".,;:!?"}
+            self.plain = any(x != y for x, y in zip(self.ids(list(self.PROBES)), self._whole(self.PROBES), strict=True))
+        except Exception:  # a model of another kind may refuse single words
+            self.plain = True
+        self.memo.known.clear()
+
+    def _whole(self, texts) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _piece(self, text: str) -> bytes:
         found = self.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))
@@ -82,6 +97,8 @@ class Encoder:
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if self.plain:
+            return self._whole(texts)
         return [b"".join(x) for x in self.memo.of(texts)]
 
 
@@ -96,88 +113,120 @@ def encoder(path: str) -> Encoder:
 Kinds = list[tuple[tuple[int, ...], int]]
 
 
+class Lengths:
+    """Pieces left, by length, and an index of the sums of two of them.
+
+    ``pairs`` has, for each sum, in how many ways two lengths that are left make it; it is worked out
+    anew only when a length runs out. A sum of three is looked up as its largest length and the sum
+    of the other two.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.have = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            self.have[length] = n
+        self.stale = True
+
+    @property
+    def pairs(self) -> np.ndarray:
+        if self.stale:
+            n = len(self.have)
+            some = np.fft.rfft(self.have > 0, 2 * n)
+            self.found = np.rint(np.fft.irfft(some * some, 2 * n)[:n])
+            self.stale = False
+        return self.found
+
+    def times(self, kind: tuple[int, ...], most: int) -> int:
+        """How often the lengths of a kind can be taken together, ``most`` at most."""
+        return min([most, *[int(self.have[x]) // n for x, n in Counter(kind).items()]])
+
+    def take(self, kind: tuple[int, ...], times: int) -> None:
+        for x in kind:
+            self.have[x] -= times
+            self.stale |= self.have[x] == 0
+
+    def two(self, a: int, gaps: np.ndarray) -> tuple[int, tuple[int, ...]] | None:
+        """A gap that a and another length of at most a fill, the other as long as can be."""
+        rest = gaps - a
+        fits = rest <= a
+        rest = rest[fits]
+        fits = np.flatnonzero((rest > 0) & (self.have[rest] > (rest == a)))
+        return (int(rest[fits[-1]]) + a, (a, int(rest[fits[-1]]))) if len(fits) else None
+
+    def three(self, a: int, gaps: np.ndarray) -> tuple[int, tuple[int, ...]] | None:
+        """The smallest gap that a and two lengths of at most a fill, the two as unlike as can be."""
+        for gap in gaps[self.pairs[gaps - a] > 0]:
+            rest = int(gap) - a
+            b = np.arange((rest + 1) // 2, min(a, rest - 1) + 1)
+            for x in b[(self.have[b] > 0) & (self.have[rest - b] > 0)][::-1]:
+                if self.times(kind := (a, int(x), rest - int(x)), 1):
+                    return int(gap), kind
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int) -> Kinds:
-    """Kinds of sequences, each the lengths in it and how many such sequences there are.
+    """Kinds of sequences, each the lengths in it and how many such sequences there are."""
+    return planned(counts, capacity)[0]
 
-    Exact sums that use up the short lengths leave the rest without fillings, so the plan is made
-    for several sets of short lengths that sums must leave alone; the one of fewest sequences is
-    taken.
+
+def planned(counts: dict[int, int], capacity: int) -> tuple[Kinds, Counter]:
+    """The plan, and how many gaps one, two and three lengths filled exactly.
+
+    Sums of several lengths use up short ones, which now and then costs the rest a sequence; then
+    sums of at most two, or one, are what fills.
     """
-    tried = [_plan(counts, capacity, capacity * k // 16) for k in (0, 1, 2, 3, 4, 6, 8, 16)]
-    return min(tried, key=lambda kinds: sum(n for _, n in kinds))
+    tried = [_plan(counts, capacity, most) for most in (3, 2, 1)]
+    return min(tried, key=lambda x: sum(n for _, n in x[0]))
 
 
-def _plan(counts: dict[int, int], capacity: int, shortest: int) -> Kinds:
-    """Largest length first: its gap is filled exactly by one available length, else by two, else
-    by three, each of them at least ``shortest``, each time as often as the counts allow. Lengths
-    that no exact sum completes go best-fit decreasing: each into the smallest gap that holds it.
+def _plan(counts: dict[int, int], capacity: int, most: int) -> tuple[Kinds, Counter]:
+    """Longest first, so that short lengths are spared: where one, two or at most ``most`` lengths,
+    this one the longest of them, fill a gap exactly, they do, as often as their counts allow; else
+    the length goes best-fit, into the smallest gap that holds it, or into new sequences.
     """
-    have = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        have[length] = n
-    spare, have[: min(shortest, capacity)] = have[: min(shortest, capacity)].copy(), 0
-    out: Kinds = []
-
-    def take(kind: tuple[int, ...]) -> None:
-        need = Counter(kind)
-        times = min(int(have[x]) // n for x, n in need.items())
-        for x, n in need.items():
-            have[x] -= n * times
-        out.append((kind, times))
-
-    def fits(kind: tuple[int, ...]) -> bool:
-        return all(have[x] >= n for x, n in Counter(kind).items())
-
-    def complement(a: int) -> tuple[int, ...] | None:
-        gap = capacity - a
-        if gap == 0:
-            return (a,)
-        if fits((a, gap)):
-            return (a, gap)
-        low = np.arange(1, gap // 2 + 1)
-        for b in low[(have[low] > 0) & (have[gap - low] > 0)]:
-            if fits(kind := (a, gap - int(b), int(b))):
-                return kind
-        for b in np.flatnonzero(have[1 : gap - 1])[::-1] + 1:
-            rest = gap - int(b)
-            low = np.arange(1, rest // 2 + 1)
-            for c in low[(have[low] > 0) & (have[rest - low] > 0)]:
-                if fits(kind := (a, int(b), rest - int(c), int(c))):
-                    return kind
-        return None
+    left = Lengths(counts, capacity)
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by gap: kinds with that gap and their counts
+    waiting = np.zeros(capacity + 1, np.int64)  # sequences by gap
+    filled: Counter = Counter()
+
+    def put(gap: int, pieces: tuple[int, ...], times: int) -> None:
+        left.take(pieces, times)
+        rest = gap - sum(pieces)
+        waiting[gap] -= times
+        waiting[rest] += times
+        while times:
+            kind, n = open_[gap].pop()
+            if n > times:
+                open_[gap].append((kind, n - times))
+            open_.setdefault(rest, []).append((kind + pieces, min(n, times)))
+            times -= min(n, times)
+        if rest == 0:
+            filled[len(pieces)] += 1
+
+    def new(a: int) -> None:
+        each = capacity // a
+        full, rest = divmod(int(left.have[a]), each)
+        for kind, n in (((a,) * each, full), ((a,) * rest, int(rest > 0))):
+            if n:
+                left.take(kind, n)
+                gap = capacity - sum(kind)
+                open_.setdefault(gap, []).append((kind, n))
+                waiting[gap] += n
 
-    residual = {a: int(n) for a, n in enumerate(spare) if n}
     for a in range(capacity, 0, -1):
-        while have[a]:
-            if kind := complement(a):
-                take(kind)
+        while n := int(left.have[a]):
+            gaps = a + np.flatnonzero(waiting[a:])
+            if not len(gaps):
+                new(a)
+            elif gaps[0] == a:
+                put(a, (a,), min(n, int(waiting[a])))
+            elif (most > 1 and (hit := left.two(a, gaps))) or (most > 2 and (hit := left.three(a, gaps))):
+                put(*hit, left.times(hit[1], int(waiting[hit[0]])))
             else:
-                residual[a] = int(have[a])
-                have[a] = 0
-    open_: dict[int, list[list]] = {}  # by gap: the kinds with that gap and their counts
-    for a in sorted(residual, reverse=True):
-        left = residual[a]
-        while left:
-            gap = min((g for g in open_ if g >= a), default=0)
-            if not gap:
-                each = capacity // a
-                full, rest = divmod(left, each)
-                for kind, n in (((a,) * each, full), ((a,) * rest, 1 if rest else 0)):
-                    if n:
-                        open_.setdefault(capacity - a * len(kind), []).append([kind, n])
-                left = 0
-                continue
-            kind, n = open_[gap].pop()
-            each = min(gap // a, left)
-            times = min(n, left // each)
-            left -= each * times
-            if n > times:
-                open_[gap].append([kind, n - times])
-            if not open_[gap]:
-                del open_[gap]
-            if times:
-                open_.setdefault(gap - a * each, []).append([kind + (a,) * each, times])
-    return out + [(tuple(kind), n) for kinds in open_.values() for kind, n in kinds]
+                gap = int(gaps[0])
+                each = min(gap // a, n)
+                put(gap, (a,) * each, min(int(waiting[gap]), n // each))
+    return [x for kinds in open_.values() for x in kinds], filled
 
 
 class Places:
@@ -279,4 +328,4 @@ def packed(docs: DataFrame, capacity: int = 1024, tokenizer_path: str | None = N
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = _PIECES + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
-    return all_.join(first, ["length", "part"]).select(*names, "first", "local").mapInArrow(place, schema)
+    return all_.join(first.hint("merge"), ["length", "part"]).select(*names, "first", "local").mapInArrow(place, schema)

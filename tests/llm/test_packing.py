@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from prosemill.llm.packing import Places, default_tokenizer, packed, plan
+from prosemill.llm.packing import Encoder, Places, default_tokenizer, packed, plan, planned
 
 TOKENIZER = Tokenizer.from_file(default_tokenizer())
 TOKENIZER.encode_special_tokens = True
@@ -44,10 +44,36 @@ def holds(rows, docs, capacity):
 def test_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = packed(docs).collect()
-    n, tokens = holds(rows, [(r.doc_id, r.text) for r in docs.collect()], 1024)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    n, tokens = holds(rows, texts, 1024)
     assert n <= -(-tokens // 1024) + 1
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_exact_sums_carry_the_plan(spark, sf):
+    texts = [r.text or "" for r in spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("text").collect()]
+    lengths = [n for x in Encoder(default_tokenizer()).ids(texts) for n in [(len(x) // 4 + 1) % 1024, *[1024] * ((len(x) // 4 + 1) // 1024)] if n]
+    kinds, filled = planned(Counter(lengths), 1024)
+    assert filled[1] > 20 and filled[2] > 20
+    if sf == "0.1":
+        assert filled[3] > 20
+    sequences = sum(n for _, n in kinds)
+    assert sequences <= best_fit(lengths, 1024) and sequences <= -(-sum(lengths) // 1024) * 1.003
+    several = sum(n for kind, n in kinds if len(kind) > 1)
+    assert sum(n for kind, n in kinds if len(kind) > 1 and sum(kind) == 1024) > several * 0.6
+
+
+def test_other_tokenizers_take_the_whole_way(tmp_path):
+    """A tokenizer that lower-cases and splits otherwise."""
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"<unk>": 0, "plain": 1, "words": 2}, unk_token="<unk>"))
+    own.normalizer, own.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.Whitespace()
+    own.save(path := str(tmp_path / "words.json"))
+    assert Encoder(path).ids(["Plain words, x"]) == [np.array([1, 2, 0, 0], "<u4").tobytes()]
+    assert not Encoder(default_tokenizer()).plain
+
+
 def test_edges(spark):
     rng = random.Random(1)
     texts = ["", None, "a  b\n c ", "<|endoftext|>", " lead", "x" * 3000, "word " * 1023, "word " * 1022 + "word", "é  漢\x85 z " * 900]
