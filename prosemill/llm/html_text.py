@@ -1,12 +1,15 @@
 """Main text of web pages: parser events, text-to-tag ratios, smoothing and clustering.
 
 One pass of the standard library's parser turns a page into blocks (the lines of the page: text
-between block-level tags) and counts text and tags in each. Blocks inside elements that never hold
-an article (menus, footers, adverts, forms, comments ...) are out. The text-to-tag ratios of the
-blocks, smoothed by a Gaussian, are split into two clusters. The article or main element of most of
-the upper cluster's text is the content region; without one it is the smallest element that holds
-all of the upper cluster, with the blocks beside it up to the next list of links. All of the
-region's blocks that are not out are the text.
+between block-level tags) and counts text and tags in each. Scripts, styles and the like are never
+text. Menus, footers, adverts, forms, comments ... are known by element and name, and are out; but an
+element that holds nearly all of the upper cluster's text is a wrapper of the page, whatever its
+name, and stays.
+
+The text-to-tag ratios of the blocks, smoothed by a Gaussian, are split into two clusters. The
+article or main elements of the upper cluster's text, all of them, are the content region; without
+any it is the smallest element that holds the upper cluster, with the blocks beside it up to the
+next list of links. All of the region's blocks that are not out are the text.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,11 @@ INLINE = frozenset(
 )
 SILENT = frozenset(
     "script style noscript template head title svg math iframe object embed applet canvas audio video map select option datalist"
-    " textarea button input form fieldset nav footer aside dialog menu".split()
+    " textarea button input".split()
 )
+#: Out by their names; of these the second kind may wrap a page.
+OUT = frozenset("nav footer aside dialog menu".split())
+OUT_OR_WRAPPER = frozenset("form fieldset header".split())
 #: A start tag of the first kind ends an open element of the second kind.
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5"
@@ -48,95 +55,127 @@ _OUT = re.compile(
     r"|contentinfo|dialog|form|skip|print|toc)(?:$|[\s_\d-])",
     re.IGNORECASE,
 )
+#: Names that say what an element has or belongs to, not what it is.
+_STATE = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|show|hide|article|post|entry|story|content|main)[_-]+(?:\S*[_-])?(?:sidebars?|header|side|comments?|nav|menus?|ads?)(?=$|\s)", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
 _CONTENT = ("article", "main")
+_HEADINGS = ("h1", "h2")
 #: Width of the smoothing, in blocks.
 SIGMA = 1.0
+#: A wrapper holds this share of the upper cluster's text.
+WRAPPER = 0.9
+
+
+class Open(NamedTuple):
+    """An open element, and what holds inside it."""
+
+    name: str
+    number: int
+    silent: bool
+    holder: int  # number of the innermost block element
+    scope: int  # place in the stack of the innermost element that ends a scope
+    link: bool
+    own: bool  # whether in an article or main element
+
+
+_OUTSIDE = Open("", -1, False, -1, -1, False, False)
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page: (text, tags in it, path of open elements' numbers); elements by number."""
+    """Blocks of a page: (text, tags in it, number of the element that holds it); elements by number,
+    which is their order. Every step takes the same time however deep elements are nested."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # name, number, whether in an element that is out
+        self.stack: list[Open] = []
+        self.open: dict[str, list[int]] = {}  # places in the stack by name
         self.names: list[str] = []
         self.parent: list[int] = []
+        self.marked: list[str] = []  # by element: "", "wrapper" if it may be one, or "out"
         self.blocks: list[tuple[str, int, int]] = []
         self.links: list[bool] = []  # whether most of a block's text is in links
         self.text: list[str] = []
         self.tags = self.linked = 0
 
+    @property
+    def top(self) -> Open:
+        return self.stack[-1] if self.stack else _OUTSIDE
+
     def flush(self) -> None:
         if self.text:
             joined = _SPACES.sub(" ", "".join(self.text)).strip()
             if joined:
-                self.blocks.append((joined, self.tags, self.holder))
+                self.blocks.append((joined, self.tags, self.top.holder))
                 self.links.append(2 * self.linked > len(joined))
             self.text = []
             self.tags = self.linked = 0
 
-    @property
-    def holder(self) -> int:
-        """The number of the innermost open block element."""
-        return next((n for name, n, _ in reversed(self.stack) if name not in INLINE), -1)
-
     def close(self) -> None:
         super().close()
         self.flush()
 
     def pop_to(self, at: int) -> None:
-        if any(name not in INLINE for name, _, _ in self.stack[at:]):
+        if any(x.name not in INLINE for x in self.stack[at:]):
             self.flush()
+        for x in self.stack[at:]:
+            self.open[x.name].pop()
         del self.stack[at:]
 
+    def innermost(self, name: str) -> int:
+        """The place in the stack of the innermost open element of that name, or -1."""
+        return (self.open.get(name) or (-1,))[-1]
+
+    def mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        if tag in ("html", "body", *_CONTENT):
+            return ""
+        if tag in OUT or tag == "header" and not self.top.own or tag in ("form", "fieldset"):
+            return "out" if tag in OUT else "wrapper"
+        if not attrs:
+            return ""
+        values = dict(attrs)
+        if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in (values.get("style") or "").replace(" ", "").lower():
+            return "out"
+        named = " ".join(values.get(k) or "" for k in ("class", "id", "role")).strip()
+        return "wrapper" if named and _OUT.search(named) and _OUT.search(_STATE.sub("", named)) else ""
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        ends = CLOSES.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-        if ends:
-            for at in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[at][0]
-                if name in ends:
-                    self.pop_to(at)
-                    break
-                if name in SCOPE:
-                    break
+        ends = CLOSES.get(tag, ())
+        at = max([self.innermost(x) for x in ends] + [self.innermost("p") if tag in CLOSES_P else -1])
+        if at >= 0 and at >= self.top.scope:
+            self.pop_to(at)
         if tag not in INLINE:
             self.flush()
         elif tag == "br":
             self.text.append(" ") if self.text else None
         if tag in VOID:
             return
-        out = bool(self.stack and self.stack[-1][2]) or tag in SILENT
-        if tag == "header":  # one in an article is the article's own
-            out = out or not any(n == "article" for n, _, _ in self.stack)
-        if not out and attrs and tag not in ("html", "body", *_CONTENT):
-            values = dict(attrs)
-            named = " ".join(values.get(k) or "" for k in ("class", "id", "role"))
-            out = "hidden" in values or values.get("aria-hidden") == "true" or bool(named.strip() and _OUT.search(named))
-            out = out or "display:none" in (values.get("style") or "").replace(" ", "").lower()
+        above, number, block = self.top, len(self.names), tag not in INLINE
+        mark = "" if above.silent else self.mark(tag, attrs)
         self.names.append(tag)
-        self.parent.append(self.holder)
-        self.stack.append((tag, len(self.names) - 1, out))
+        self.parent.append(above.holder)
+        self.marked.append(mark if block else "")
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Open(
+            tag, number, above.silent or tag in SILENT or bool(mark) and not block, number if block else above.holder,
+            len(self.stack) if tag in SCOPE else above.scope, above.link or tag == "a", above.own or tag in _CONTENT,
+        ))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack and self.stack[-1][0] == tag:
+        if tag not in VOID and self.top.name == tag:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self.pop_to(at)
-                return
-            if self.stack[at][0] in SCOPE and tag in INLINE | {"p", "li"}:
-                return
+        at = self.innermost(tag)
+        if at >= 0 and (at >= self.top.scope or tag not in INLINE and tag not in ("p", "li")):
+            self.pop_to(at)
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][2]):
+        if not self.top.silent:
             self.text.append(data)
-            if any(name == "a" for name, _, _ in self.stack):
+            if self.top.link:
                 self.linked += len(data.strip())
 
 
@@ -155,69 +194,131 @@ def _two_means(x: np.ndarray) -> np.ndarray:
 
 
 def text_to_tag(blocks: list[tuple[str, int, int]]) -> np.ndarray:
-    """Characters for each tag, on a logarithmic scale and smoothed over neighbouring blocks."""
-    ratio = np.log1p([len(t) / max(1, n) for t, n, _ in blocks])
+    """Characters for each tag, on a logarithmic scale."""
+    return np.log1p([len(t) / max(1, n) for t, n, _ in blocks])
+
+
+def smoothed(ratio: np.ndarray) -> np.ndarray:
+    """The ratios, each with its neighbours under a Gaussian."""
     reach = int(3 * SIGMA)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     weight = np.convolve(np.ones(len(ratio)), kernel)[reach : reach + len(ratio)]
     return np.convolve(ratio, kernel)[reach : reach + len(ratio)] / weight
 
 
+class _Tree:
+    """The elements of a page: what each holds, and its last descendant."""
+
+    def __init__(self, parser: Blocks):
+        self.names, self.parent, self.marked = parser.names, parser.parent, parser.marked
+        self.last = list(range(len(self.names)))
+        for n in range(len(self.names) - 1, -1, -1):
+            if (p := self.parent[n]) >= 0:
+                self.last[p] = max(self.last[p], self.last[n])
+
+    def mass(self, blocks: list[tuple[str, int, int]], weight: np.ndarray) -> list[float]:
+        """The blocks' weights in each element; those of the whole page are last."""
+        out = [0.0] * (len(self.names) + 1)
+        for (_, _, holder), w in zip(blocks, weight, strict=True):
+            out[holder] += float(w)
+        for n in range(len(self.names) - 1, -1, -1):
+            out[self.parent[n]] += out[n]
+        return out
+
+    def out(self, mass: list[float]) -> list[bool]:
+        """Whether each element is out, the page itself last: it or one around it is marked, and is no
+        wrapper of nearly all mass."""
+        out = [False] * (len(self.names) + 1)
+        for n, (p, mark) in enumerate(zip(self.parent, self.marked, strict=True)):
+            out[n] = out[p] or mark == "out" or mark == "wrapper" and not (mass[-1] > 0 and mass[n] >= WRAPPER * mass[-1])
+        return out
+
+    def outermost(self, kind: tuple[str, ...]) -> list[int]:
+        found, end = [], -1
+        for n, name in enumerate(self.names):
+            if n > end and name in kind:
+                found.append(n)
+                end = self.last[n]
+        return found
+
+
 def extract(html: str) -> str:
     """The main text of one page, '' if it has none."""
     parser = Blocks()
     parser.feed(html)
     parser.close()
-    blocks = parser.blocks
-    if not blocks:
+    if not parser.blocks:
+        return ""
+    tree = _Tree(parser)
+    size = np.array([len(t) for t, _, _ in parser.blocks], float)
+    links = np.array(parser.links)
+    ratio = text_to_tag(parser.blocks)
+    out = tree.out(tree.mass(parser.blocks, size * ((_two_means(smoothed(ratio)) | _two_means(ratio)) & ~links)))
+    kept = [i for i, (_, _, holder) in enumerate(parser.blocks) if not out[holder]]
+    if not kept:
         return ""
-    chosen = _two_means(text_to_tag(blocks))
-    mass: dict[int, int] = {}
-    for (text, _, holder), is_content in zip(blocks, chosen, strict=True):
-        at = holder
-        while is_content:
-            mass[at] = mass.get(at, 0) + len(text)
-            if at < 0:
-                break
-            at = parser.parent[at]
-    total = mass[-1]
-    # the article or main element of most content text; without one the
-    # smallest element that holds all of it, links aside, and what stands beside that
-    named = [n for n in mass if n >= 0 and parser.names[n] in _CONTENT and mass[n] >= total / 3]
-    if named:
-        region = max(named, key=lambda n: (parser.names[n] == "article", mass[n], -n))
-        return " ".join([t for (t, _, _), keep in zip(blocks, _within(parser, region), strict=True) if keep])
-    core = np.flatnonzero(chosen & ~np.array(parser.links))
+    blocks, links, size = [parser.blocks[i] for i in kept], links[kept], size[kept]
+    holder = np.array([h for _, _, h in blocks])
+    ratio = text_to_tag(blocks)
+    chosen = _two_means(smoothed(ratio))
+    inside = _named(tree, blocks, holder, chosen | _two_means(ratio), size)  # on a page of few blocks smoothing hides some
+    if inside is None:
+        inside = _unnamed(tree, blocks, holder, chosen, links)
+    return " ".join([t for (t, _, _), keep in zip(blocks, inside, strict=True) if keep])
+
+
+def _within(tree: _Tree, holder: np.ndarray, region: int) -> np.ndarray:
+    """Whether each block lies in the element."""
+    return (holder >= region) & (holder <= tree.last[region])
+
+
+def _named(tree: _Tree, blocks: list[tuple[str, int, int]], holder: np.ndarray, chosen: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+    """The blocks in the article elements of content text, of several also what is between them in
+    main, and a heading right before; None if they hold less than a third of such text."""
+    weight = size * chosen
+    mass = tree.mass(blocks, weight)
+    articles = [n for n in tree.outermost(("article",)) if mass[n] > 0]
+    mains = [n for n in tree.outermost(("main",)) if mass[n] > 0]
+    if sum(mass[n] for n in articles) >= mass[-1] / 3:
+        around = [m for m in mains if sum(m <= n <= tree.last[m] for n in articles) > 1]
+        regions = around + [n for n in articles if not any(m <= n <= tree.last[m] for m in around)]
+    elif sum(mass[n] for n in mains) >= mass[-1] / 3:
+        regions = mains
+    else:
+        return None
+    inside = np.zeros(len(blocks), bool)
+    for n in regions:
+        inside |= _within(tree, holder, n)
+    heading = [h >= 0 and tree.names[h] in _HEADINGS for h in holder]
+    first = int(np.flatnonzero(inside)[0])
+    if not any(h and x for h, x in zip(heading, inside, strict=True)):
+        while first and heading[first - 1]:
+            first -= 1
+            inside[first] = True
+    return inside
+
+
+def _unnamed(tree: _Tree, blocks: list[tuple[str, int, int]], holder: np.ndarray, chosen: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """The blocks of the smallest element that holds all content text, links aside, and what stands
+    beside that."""
+    core = np.flatnonzero(chosen & ~links)
     if not len(core):
         core = np.flatnonzero(chosen)
     inside = np.zeros(len(blocks), bool)
     inside[core[0] : core[-1] + 1] = True
-    held: dict[int, int] = {}
-    for i in core:
-        at = blocks[i][2]
-        while at >= 0:
-            held[at] = held.get(at, 0) + 1
-            at = parser.parent[at]
-    around = [n for n, k in held.items() if k == len(core) and parser.names[n] in SCOPE - {"html", "body"} | {"td"}]
+    count = np.zeros(len(blocks))
+    count[core] = 1
+    held = tree.mass(blocks, count)
+    around = [n for n, k in enumerate(held[:-1]) if k == len(core) and tree.names[n] in SCOPE - {"html", "body"} | {"td"}]
     if around:
-        inside |= _within(parser, max(around))
+        inside |= _within(tree, holder, max(around))
     here = np.flatnonzero(inside)
     for edge, step in ((here[0], -1), (here[-1], 1)):
-        _extend(inside, parser.links, int(edge), step)
-    return " ".join([t for (t, _, _), keep in zip(blocks, inside, strict=True) if keep])
-
-
-def _within(parser: Blocks, region: int) -> np.ndarray:
-    """Whether each block lies in the element."""
-    out = np.zeros(len(parser.blocks), bool)
-    for i, (_, _, at) in enumerate(parser.blocks):
-        while at != region and at >= 0:
-            at = parser.parent[at]
-        out[i] = at == region
-    return out
+        _extend(inside, links, int(edge), step)
+    return inside
 
 
-def _extend(inside: np.ndarray, links: list[bool], edge: int, step: int) -> None:
+def _extend(inside: np.ndarray, links: np.ndarray, edge: int, step: int) -> None:
     """Blocks beyond the edge are inside too, up to two blocks of links in a row or links at the end:
     one between others, such as a byline, is part of the text."""
     at = edge + step

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -80,3 +81,32 @@ LINKS = "<ul><li><a href=a>Home</a><li><a href=b>About us</a><li><a href=c>Conta
 )
 def test_pages_without_article(html, text):
     assert extract(html) == text
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body class=ads><div class='layout has-sidebar'><div class=sidebar>{LINKS}</div><article><h1>T</h1>{P}</article></div></body>", f"T {T}"),
+        (f"<div class='page sidebar-right'>{LINKS}<div class=text>{P}{P}</div><div class=footer>foot</div></div>", f"{T} {T}"),
+        (f"<form id=aspnetForm><div id=menu>{LINKS}</div><h1>T</h1>{P}{P}<form>x</form></form>", f"T {T} {T}"),
+        (f"<main><h1>News</h1><article><h2>One</h2>{P}</article><article><h2>Two</h2>{P}</article><aside>{P}</aside></main>", f"News One {T} Two {T}"),
+        (f"<article><h2>One</h2>{P}</article><article><h2>Two</h2>{P}</article>", f"One {T} Two {T}"),
+        (f"<article><div class='article-header'><h1>T</h1></div>{P}<div class='article-footer'>f</div></article>", f"T {T}"),
+        (f"<div class='post-header'><h1>T</h1></div><div class=body>{P}{P}</div><div id=comments>{P}{P}{P}{P}</div>", f"T {T} {T}"),
+        (f"<h1>T</h1><article>{P}</article><div class=related><article>{P}</article></div>", f"T {T}"),
+        (f"<article>{P}<p>A <span class=share>Share</span>b</p></article>", f"{T} A b"),
+        (f"<table><tr><td>{LINKS}<td>{P}{P}</table>", f"{T} {T}"),
+    ],
+)
+def test_wrappers(html, text):
+    assert extract(html) == text
+
+
+@pytest.mark.parametrize("open_", ["<b>", "<div>x", "<div>", "<p><b>", "<ul><li>y", "</p><i>", "<b><hr>z", "<span><a>w"])
+def test_deep_nesting_takes_linear_time(open_):
+    took = []
+    for n in (5_000, 20_000):
+        began = time.perf_counter()
+        extract(open_ * n + "end" + P)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.2 and took[1] < 5
