@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by a forest of sorted hash strings.
 
-Each tree hashes a vector to a string of symbols, one random rotation a symbol: the coordinate of
-largest magnitude and its sign (cross-polytope hashing, which needs far fewer trees than signs of
-single projections). A tree is the sorted array of its strings. A query descends in all trees to
-its longest prefixes and ascends in all of them together, one symbol at a time, until it has enough
-different candidates; these are scored exactly.
-
-The index is dealt into shards of bounded size, each with a forest of its own, and the stated
-queries are held against all shards in blocks, so no group grows with the data and no vector is
-copied once per tree. A shard keeps its best k a query; the k best of all shards are the answer.
+Each tree turns a vector by a random rotation of its own; the string names the coordinates of largest
+magnitude and their signs, the largest first (cross-polytope hashing, which needs far fewer trees
+than signs of single projections). A tree is the sorted array of its strings. A query descends in all
+trees to its longest prefixes and ascends in all of them together, one symbol at a time, until it has
+enough different candidates; those that the last step adds are taken by the number of trees in which
+they share the prefix. Candidates are scored exactly.
+
+The index is dealt into shards of bounded size, by length of the vectors first: inner products rank
+vectors of like length as angles do. Each shard's forest is built once, by the task that holds it, and
+the stated queries stream past it in batches. A shard keeps its best k a query; the k best of all
+shards are the answer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,92 +23,124 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import pick
+from prosemill.llm.common import pick, saved
 
-TREES, SYMBOLS = 64, 3
-SHARD, QUERIES = 8192, 4096
-#: Different candidates that a query ascends for: this share of the shard, and so many at least.
-#: With whole symbols as steps that comes to 0.34 of the rows, and finds 0.97 of the nearest 20 among
-#: 10,256 unit vectors of 64 dimensions and 0.99 among 51,282 (measured against brute force).
-SHARE, LEAST = 0.28, 400
+TREES, SYMBOLS = 256, 6
+SHARD = 8192
+#: Different candidates that a query ascends for: this share of the shard, and so many times k at
+#: least. README has the recall that this gives.
+SHARE, TIMES_K = 0.12, 6
+#: Vectors of one shard differ in length by a factor of 2 ** (1 / BANDS) at most.
+BANDS = 4
 SEED = 11
 
 
 @lru_cache(maxsize=4)
 def rotations(dim: int) -> np.ndarray:
-    """TREES * SYMBOLS random rotations, (number, dim, dim)."""
+    """TREES random rotations, (number, dim, dim)."""
     rng = np.random.default_rng(SEED)
-    return np.stack([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(TREES * SYMBOLS)]).astype(np.float32)
+    return np.stack([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(TREES)]).astype(np.float32)
+
+
+def symbols(dim: int) -> int:
+    """Symbols of a string: SYMBOLS, or as many as there are coordinates or fit into 63 bits."""
+    return max(1, min(SYMBOLS, dim, int(63 / np.log2(2 * dim + 1))))
 
 
 def hash_strings(x: np.ndarray) -> np.ndarray:
     """(TREES, rows) strings as integers of base 2 * dim, the first symbol leading."""
-    dim = x.shape[1]
+    rows, dim = np.arange(len(x)), x.shape[1]
     out = np.zeros((TREES, len(x)), np.int64)
     scaled = (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32)
-    for k, r in enumerate(rotations(dim)):
+    for t, r in enumerate(rotations(dim)):
         y = scaled @ r
-        best = np.abs(y).argmax(axis=1)
-        symbol = 2 * best + (y[np.arange(len(x)), best] > 0)
-        out[k // SYMBOLS] = out[k // SYMBOLS] * (2 * dim) + symbol
+        size = np.abs(y)
+        for _ in range(symbols(dim)):
+            best = size.argmax(axis=1)
+            out[t] = out[t] * (2 * dim) + 2 * best + (y[rows, best] > 0)
+            size[rows, best] = -1
     return out
 
 
 class Forest:
     def __init__(self, x: np.ndarray):
-        self.x, self.base = x, 2 * x.shape[1]
+        self.x, self.base, self.length = x, 2 * x.shape[1], symbols(x.shape[1])
         strings = hash_strings(x)
-        self.order = np.argsort(strings, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(strings, self.order, axis=1)
-
-    def candidates(self, queries: np.ndarray):
-        """For each query the rows that share a prefix with it in some tree, the prefixes as long
-        as still give enough rows; with none long enough, all rows."""
+        order = np.argsort(strings, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(strings, order, axis=1)
+        self.order = order.astype(np.int32).ravel()
+        self.tree = np.arange(TREES) * len(x)
+
+    def candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
+        """For each query the rows that share a prefix with it in some tree, the prefixes as long as
+        still give ``least`` rows; all rows only where no prefix at all gives as many."""
         strings = hash_strings(queries)
-        least = min(len(self.x), max(LEAST, int(SHARE * len(self.x))))
         ranges = []
-        for cut in range(SYMBOLS):  # symbols cut off at the end
+        for cut in range(self.length):  # symbols cut off at the end
             unit = self.base**cut
             low = strings // unit * unit
-            ranges.append([(np.searchsorted(s, a), np.searchsorted(s, a + unit)) for s, a in zip(self.sorted, low, strict=True)])
+            ends = [np.searchsorted(s, np.concatenate((a, a + unit))) for s, a in zip(self.sorted, low, strict=True)]
+            a, b = np.split(np.stack(ends, axis=1), 2)
+            ranges.append((a + self.tree, b - a))
         for q in range(len(queries)):
-            mark = np.zeros(len(self.x), bool)
-            for level in ranges:
-                for order, (a, b) in zip(self.order, level, strict=True):
-                    mark[order[a[q] : b[q]]] = True
-                found = np.flatnonzero(mark)
+            votes = np.zeros(len(self.x), np.int64)
+            for start, size in ranges:
+                start, size = start[q], size[q]
+                total = int(size.sum())
+                at = np.arange(total) + np.repeat(start - np.cumsum(size) + size, size)
+                votes += np.bincount(self.order[at], minlength=len(votes))
+                found = np.flatnonzero(votes)
                 if len(found) >= least:
+                    share = votes[found]
+                    yield found[share >= np.partition(share, len(share) - least)[len(share) - least]]
                     break
             else:
-                found = np.arange(len(self.x))
-            yield found
+                yield np.arange(len(self.x))
+
+
+def _answers(forest: Forest, ids: np.ndarray, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    x = _matrix(asked.column("v"))
+    query_ids, rows = (asked.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "row"))
+    least = min(len(ids), max(TIMES_K * k, int(SHARE * len(ids))) + 1)  # itself may be one of them
+    parts: list[tuple] = []
+    for q, found in enumerate(forest.candidates(x, least)):
+        found = found[ids[found] != query_ids[q]]
+        score = (forest.x[found] * x[q]).sum(axis=1)
+        if len(found) > k:  # ties with the k-th stay for the order below
+            top = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+            found, score = found[top], score[top]
+        best = np.lexsort((ids[found], -score))[:k]
+        parts.append((np.full(len(best), query_ids[q]), np.full(len(best), rows[q]), ids[found[best]], score[best]))
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "row", "vec_id", "score"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.ascontiguousarray(flat, np.float64).reshape(len(column), -1)
 
 
 def _search(k: int):
-    def run(rows: pa.Table) -> pa.Table:
-        ids, query = (rows.column(c).to_numpy() for c in ("vec_id", "query"))
-        x = np.array(rows.column("v").to_pylist(), np.float64)
-        base, asked = np.flatnonzero(~query), np.flatnonzero(query)
-        out: list[list] = [[], [], [], []]
-        if len(base) and len(asked):
-            row = rows.column("row").to_numpy()
-            base_ids = ids[base]
-            forest = Forest(x[base])
-            for q, found in zip(asked, forest.candidates(x[asked]), strict=True):
-                found = found[base_ids[found] != ids[q]]
-                score = (forest.x[found] * x[q]).sum(axis=1)
-                if len(found) > k:  # ties with the k-th stay for the order below
-                    top = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-                    found, score = found[top], score[top]
-                best = np.lexsort((base_ids[found], -score))[:k]
-                out[0] += [ids[q]] * len(best)
-                out[1] += [row[q]] * len(best)
-                out[2] += base_ids[found[best]].tolist()
-                out[3] += score[best].tolist()
-        return pa.table(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())],
-            names=["query_id", "row", "vec_id", "score"],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """cell, query, vec_id, row, v: sorted by the first two, so a shard's rows come before its
+        queries. One forest is held at a time."""
+        at, held, forest, ids = None, [], None, None
+        for batch in batches:
+            cell, query = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            key = np.stack((cell, query.astype(np.int64)), axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)] if len(key) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if cell[a] != at:
+                    at, held, forest = cell[a], [], None
+                part = batch.slice(a, b - a)
+                if not query[a]:
+                    held.append(part)
+                elif held or forest:
+                    if forest is None:
+                        forest = Forest(np.concatenate([_matrix(p.column("v")) for p in held]))
+                        ids = np.concatenate([p.column("vec_id").to_numpy() for p in held])
+                        held = []
+                    yield _answers(forest, ids, part, k)
 
     return run
 
@@ -123,21 +158,25 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, k: int = 20) ->
     """
     v = F.col("v")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
+    norm = F.log2(norm) + F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / norm) * (x / norm))) / 2
     rows = (
         pick(vectors, vec_id="long", embedding="array<double>").withColumnRenamed("embedding", "v")
         .where("vec_id is not null and v is not null").where(~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
-        .withColumn("row", F.xxhash64("vec_id", "v"))
+        .select("vec_id", "v", F.xxhash64("vec_id", "v").alias("row"), F.size("v").alias("dim"), F.round(norm * BANDS).cast("int").alias("band"))
     )
     is_query = is_query if is_query is not None else F.col("vec_id") % 20 == 0
-    asked = rows.where(is_query).dropDuplicates(["vec_id", "row"])
-    n, m = rows.count(), rows.where(is_query).count()
-    shards, blocks = -(-n // SHARD) or 1, -(-m // QUERIES) or 1
-    deal = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    row = F.xxhash64("row", F.lit(7))
-    base = rows.withColumn("shard", F.pmod(row, F.lit(shards)).cast("int")).withColumn("block", deal(blocks)).withColumn("query", F.lit(False))
-    asked = asked.withColumn("block", F.pmod(row, F.lit(blocks)).cast("int")).withColumn("shard", deal(shards)).withColumn("query", F.lit(True))
-    cells = base.unionByName(asked).withColumn("dim", F.size("v"))
-    found = cells.groupBy("dim", "shard", "block").applyInArrow(_search(k), "query_id long, row long, vec_id long, score double")
+    counts = saved(rows.groupBy("dim", "band").agg(F.ceil(F.count("*") / SHARD).alias("shards")), "shards")
+    cell = F.xxhash64("dim", "band", "shard").alias("cell")
+    spread = F.pmod(F.xxhash64("row", F.lit(7)), F.col("shards")).alias("shard")
+    base = rows.join(counts, ["dim", "band"]).select("*", spread).select(cell, F.lit(False).alias("query"), "vec_id", "row", "v")
+    cells = counts.select("dim", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+    asked = rows.where(is_query).dropDuplicates(["vec_id", "row"]).drop("band")
+    asked = asked.join(cells, "dim").select(cell, F.lit(True).alias("query"), "vec_id", "row", "v")
+    found = (
+        base.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "query")
+        .mapInArrow(_search(k), "query_id long, row long, vec_id long, score double")
+    )
     order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

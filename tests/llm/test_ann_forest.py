@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from prosemill.llm import ann_forest
@@ -33,7 +34,6 @@ def table(spark, ids, x):
 
 def test_recall_and_exact_scores(spark, monkeypatch):
     monkeypatch.setattr(ann_forest, "SHARD", 1500)
-    monkeypatch.setattr(ann_forest, "QUERIES", 50)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -56,6 +56,35 @@ def test_test_tables(spark, small):
         assert recall(answers(nearest(df)), brute(ids, x)) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_forest_chooses_few_candidates(spark, sf):
+    """No size is searched by brute force."""
+    rows = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    forest, least = ann_forest.Forest(x), max(ann_forest.TIMES_K * 20, int(ann_forest.SHARE * len(x))) + 1
+    share = [len(c) / len(x) for c in forest.candidates(x[::20], least)]
+    assert max(share) < 0.5 and np.mean(share) < 0.3
+    everything = list(forest.candidates(x[:3], len(x)))
+    assert all(len(c) == len(x) for c in everything)
+
+
+def test_prefixes_of_equal_vectors_end_the_ascent():
+    """Copies share whole strings, so a query for them ascends no further."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1000, 16))
+    x[200:400] = x[7]
+    found = next(ann_forest.Forest(x).candidates(x[7:8], 150))
+    assert sorted(found) == [7, *range(200, 400)]
+
+
+def test_mixed_lengths(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 32)) * rng.lognormal(0, 1, size=(3000, 1))
+    ids = np.arange(3000)
+    got = answers(nearest(table(spark, ids, x)))
+    assert recall(got, brute(ids, x.astype(np.float32).astype(np.float64))) >= 0.9
+
+
 def test_edges(spark):
     rows = [
         (0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, None, 1), (3, [], 1), (4, [0.0, 0.0], 1), (5, [None, 1.0], 1), (6, [float("nan"), 1.0], 1),
