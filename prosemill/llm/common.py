@@ -48,7 +48,32 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(conf).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = where
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing to come reads."""
+    for df in tables:
+        where = df._scratch
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc_id, text, row = xxhash64 of the text) with ids of which none stands for two texts.
+
+    Where doc_ids repeat with different texts, all rows are numbered anew in the order of doc_id and
+    row; the second result then has the new numbers: doc_id, row, own. Rows without doc_id have no
+    number. Else docs are as they are, and there is no second result.
+    """
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a != b").isEmpty():
+        return docs, None
+    names = saved(named.select("doc_id", "row").distinct().orderBy("doc_id", "row").withColumn("own", F.monotonically_increasing_id()), "names")
+    own = names.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "own")
+    both = docs.join(own, (docs["doc_id"] == own["d"]) & (docs["row"] == own["r"]), "left")
+    return both.select(F.col("own").alias("doc_id"), *[c for c in docs.columns if c != "doc_id"]), names
 
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
@@ -166,7 +191,10 @@ class Words:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (u long, v long): rows (node, component), component the
     smallest node reachable. Union-find by alternating large-star and small-star steps, which hang
-    every node on the smallest neighbour; each round's table is written, so no plan grows."""
+    every node on the smallest neighbour; each round's table is written, so no plan grows.
+
+    A hub's edges all have one key. The least neighbours are found by partial aggregation and
+    written before edges are joined with them, so that a hub's part of the join can be split."""
     e = saved(
         edges.where("u is not null and v is not null and u != v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -176,12 +204,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        least = saved(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
+        large = saved(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        own = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(own, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, e = e, saved(small.unionByName(own.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(old, least, large, own)
         if now == state:
             break
         state = now

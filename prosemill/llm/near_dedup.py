@@ -3,14 +3,16 @@
 Texts with equal shingle sets fall into one class, so copies never meet each other again; a class
 signs once. Three steps then find all links without a row for each pair of a group:
 
-1. In each band bucket, signatures tell which classes can be linked at all; the bucket gives a
-   spanning forest of these, and the components of all forests are the neighbourhoods.
-2. Every class is verified, on full sets, with the smallest one of each of its buckets. The links
-   found make groups.
-3. Within a neighbourhood of more than one group, all classes of different groups are verified
-   against each other, in blocks of bounded size; a block pair gives a spanning forest of its links.
-
-Buckets and neighbourhoods of any size are cut into blocks, and pairs of blocks go to tasks.
+1. Every class is verified, on full sets, with the smallest one of each of its band buckets whose
+   signature allows a link. The links found make groups; most buckets then hold one group only, and
+   nothing more is asked of them.
+2. In the buckets of several groups, signatures tell which groups can be linked at all: blocks of
+   classes of different groups give spanning forests, whose components are the neighbourhoods.
+3. Within a neighbourhood all such classes of different groups are verified against each other, in
+   blocks of bounded size; a block pair gives a spanning forest of its links.
+
+Stars, buckets and neighbourhoods of any size are cut into blocks, and blocks or pairs of blocks go to
+tasks; classes of one group are never held against each other again.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import GOLDEN, U64, Words, components, mix, parts_of, pick, saved
+from prosemill.llm.common import GOLDEN, U64, Words, components, discard, mix, parts_of, pick, saved, told_apart
 
 #: Bands times rows is the length of a signature. At a similarity of 0.8 all 24 bands miss with a
 #: probability of (1 - 0.8 ** 4) ** 24 = 3e-6.
@@ -30,8 +32,8 @@ BANDS, ROWS = 24, 4
 #: Pairs are verified where this share of the signature agrees; at a similarity of 0.8 fewer agree
 #: with a probability of about 1e-5.
 LEAST_AGREEING = 0.62
-#: Classes that a task compares with as many others at most, about.
-BLOCK = 512
+#: Classes that a task compares with as many others at most, about, and the shingles they have.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 MAX_ELEMENTS = 1 << 16
 
 
@@ -106,8 +108,9 @@ def _signer(n: int):
                     pa.array(key[1].view(np.int64), mask=~some),
                     pa.array([x if s else None for x, s in zip(band.view(np.int64), some, strict=True)], pa.list_(pa.int64())),
                     pa.array([x.tobytes() if s else None for x, s in zip(sig, some, strict=True)], pa.binary()),
+                    batch.column(2),
                 ],
-                ["doc_id", "n_shingles", "k1", "k2", "bands", "sig"],
+                ["doc_id", "n_shingles", "k1", "k2", "bands", "sig", "row"],
             )
 
     return sign
@@ -123,22 +126,58 @@ def _setter(n: int):
     return sets
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    a = sets.select(F.col("node").alias("u"), F.col("own").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("own").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return (
-        pairs.join(a, "u").join(b, "v")
-        .where(100 * both >= percent * (F.size("a") + F.size("b") - both))
-        .select("u", "v").distinct()
-    )
-
-
 def _close(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v and their signatures: the pairs whose signatures allow a link."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, BANDS * ROWS) for i in (2, 3))
+        yield batch.select(["u", "v"]).filter(pa.array((a == b).mean(axis=1) >= LEAST_AGREEING))
+
+
+def _starred(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """task, centre (null for the others), node, own, the centre first: its verified links."""
+        task, centre, own = None, None, None
+        for batch in batches:
+            u, v = [], []
+            tasks, isolated = (batch.column(i).to_pylist() for i in (0, 1))
+            values = batch.column(3)
+            first = np.concatenate(([0], np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))))
+            flat = values.flatten().to_numpy()
+            for i, (t, is_centre, node) in enumerate(zip(tasks, isolated, batch.column(2).to_pylist(), strict=True)):
+                mine = flat[first[i] : first[i + 1]]
+                if is_centre:
+                    task, centre, own = t, node, mine
+                    continue
+                if t != task:
+                    raise ValueError("a star has no centre")
+                at = np.searchsorted(own, mine)
+                both = int((own[np.minimum(at, len(own) - 1)] == mine).sum())
+                if 100 * both >= percent * (len(own) + len(mine) - both):
+                    u.append(min(centre, node))
+                    v.append(max(centre, node))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _stars_verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (centre u, v) whose full sets are similar enough. A centre's pairs are dealt into
+    tasks of about BLOCK; each has the centre's set once and streams the others past it."""
+    count = saved(pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
+    dealt = saved(pairs.join(count, "u").select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("blocks"))).alias("task")), "dealt")
+    sides = dealt.select(F.col("v").alias("node"), "task", F.lit(False).alias("centre")).unionByName(
+        dealt.select(F.col("u").alias("node"), "task", F.lit(True).alias("centre")).distinct()
+    )
+    return (
+        sides.join(sets, "node").select("task", "centre", "node", "own")
+        .repartition("task").sortWithinPartitions("task", F.desc("centre")).mapInArrow(_starred(percent), "u long, v long")
+    )
+
+
 class _Forest:
     """Union-find over 0..n-1; ``edges`` are the joins made."""
 
@@ -178,21 +217,28 @@ def _edges(node: np.ndarray, forest: _Forest) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
 
+def _of_groups(grp: np.ndarray) -> _Forest:
+    """A forest in which members of one group are joined."""
+    _, first, number = np.unique(grp, return_index=True, return_inverse=True)
+    return _Forest(first[number])
+
+
 def _likely(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """task, node, size, sig: a forest of the pairs whose signatures and sizes allow a link."""
+        """task, node, grp, size, sig: a forest of the groups whose members' signatures and sizes
+        allow a link."""
         for rows in _grouped(batches):
-            node, at = np.unique(rows.column(1).to_numpy(), return_index=True)
-            size = rows.column(2).to_numpy()[at]
-            sig = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(len(rows), -1)[at]
-            forest = _Forest(np.arange(len(node)))
-            for i in range(len(node) - 1):
+            _, at = np.unique(rows.column(1).to_numpy(), return_index=True)
+            grp, size = (rows.column(i).to_numpy()[at] for i in (2, 3))
+            sig = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(len(rows), -1)[at]
+            forest = _of_groups(grp)
+            for i in range(len(grp) - 1):
                 js = forest.others(i)
                 js = js[100 * np.minimum(size[i], size[js]) >= percent * np.maximum(size[i], size[js])]
                 if len(js):
                     js = js[(sig[js] == sig[i]).mean(axis=1) >= LEAST_AGREEING]
                     forest.join(i, js)
-            yield _edges(node, forest)
+            yield _edges(grp, forest)
 
     return run
 
@@ -205,8 +251,7 @@ def _linked(percent: int):
             own = rows.column(3).to_pylist()
             own = [np.array(own[i], np.int64) for i in at]
             size = np.array([len(x) for x in own])
-            _, first, number = np.unique(rows.column(2).to_numpy()[at], return_index=True, return_inverse=True)
-            forest = _Forest(first[number])
+            forest = _of_groups(rows.column(2).to_numpy()[at])
             _, value, shared = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
             doc = np.repeat(np.arange(len(node)), size)
             keep = shared[value] > 1  # only these can be common
@@ -228,27 +273,26 @@ def _linked(percent: int):
     return run
 
 
-def _tasks(rows: DataFrame, key: str, kept: list[str], run, apart: str | None = None) -> DataFrame:
-    """The edges (u, v) that ``run`` finds within each key. Rows of a key are dealt into blocks of
-    about BLOCK rows, and each pair of a key's blocks is one task; with ``apart``, rows equal there
-    are dealt into blocks of their own where they fill some, and not held against each other."""
-    if apart:
-        own = rows.groupBy(key, apart).agg(F.count("*").alias("n"))
-        own = saved(own.withColumn("big", F.when(F.col("n") > BLOCK // 2, F.col(apart))), "dealt")
-        rest = own.where("big is null").groupBy(key).agg(F.sum("n").alias("rest"))
-        own = saved(own.join(rest, key, "left"), "dealt")
-        dealt = rows.join(own, [key, apart])
-        number = F.when(F.col("big").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))).otherwise(
-            F.pmod(F.xxhash64(apart), F.ceil(F.col("rest") / BLOCK))
-        )
-    else:
-        own = saved(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "dealt")
-        dealt = rows.join(own, key).withColumn("big", F.lit(None).cast("long"))
-        number = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
-    dealt = dealt.withColumn("block", F.xxhash64(key, F.coalesce("big", F.lit(-1)), number))
-    blocks = saved(dealt.select(key, "block", "big").distinct(), "blocks")
-    a = blocks.select(key, F.col("block").alias("a"), F.col("big").alias("big_a"))
-    b = blocks.select(key, F.col("block").alias("b"), F.col("big").alias("big_b"))
+def _tasks(rows: DataFrame, key: str, kept: list[str], run) -> DataFrame:
+    """The edges (u, v) that ``run`` finds within each key between rows of different grp. Rows of a
+    key are dealt into blocks of about BLOCK rows and BLOCK_SHINGLES of their size; those of one grp
+    are dealt into blocks of their own where they fill some, else by grp. Each pair of a key's blocks
+    is one task, but for two of one grp."""
+    blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_SHINGLES))
+    own = saved(
+        rows.groupBy(key, "grp").agg(F.count("*").alias("n"), F.sum("size").alias("sum"))
+        .withColumn("big", F.when((F.col("n") > BLOCK // 2) | (F.col("sum") > BLOCK_SHINGLES // 2), F.col("grp"))),
+        "dealt",
+    )
+    rest = saved(own.where("big is null").groupBy(key).agg(F.sum("n").alias("rest"), F.sum("sum").alias("rest_sum")), "rest")
+    own = saved(own.join(rest, key, "left"), "dealt")
+    number = F.when(F.col("big").isNotNull(), F.pmod(F.xxhash64("node"), blocks("n", "sum"))).otherwise(
+        F.pmod(F.xxhash64("grp"), blocks("rest", "rest_sum"))
+    )
+    dealt = rows.drop("n").join(own, [key, "grp"]).withColumn("block", F.xxhash64(key, F.coalesce("big", F.lit(-1)), number))
+    of = saved(dealt.select(key, "block", "big").distinct(), "blocks")
+    a = of.select(key, F.col("block").alias("a"), F.col("big").alias("big_a"))
+    b = of.select(key, F.col("block").alias("b"), F.col("big").alias("big_b"))
     pairs = a.join(b, key).where("a <= b and coalesce(big_a != big_b, true)")
     pairs = saved(pairs.select("a", "b", F.xxhash64("a", "b").alias("task")), "pairs")
     sides = pairs.select(F.col("a").alias("block"), "task").unionByName(pairs.where("a != b").select(F.col("b").alias("block"), "task"))
@@ -260,7 +304,7 @@ def _tasks(rows: DataFrame, key: str, kept: list[str], run, apart: str | None =
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document of docs (doc_id, text): doc_id, n_shingles long (distinct n-word
-    shingles), component_id long, kept boolean.
+    shingles), component_id long, kept boolean, row long (xxhash64 of the text), first boolean.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets; words
     are ``[^\\x20\\x09-\\x0D]+``, A-Z lowered. component_id is the smallest doc_id reachable over
@@ -268,55 +312,78 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     Null or empty texts have an empty set and are linked with nothing; a text of fewer than n words
     is one shingle. A row without doc_id is linked with nothing, has no component and is kept. Rows
-    that share a doc_id count as one document when linked, and each returns a row. An empty table
-    gives an empty result. Texts of any length are read whole.
+    of equal doc_id and text are one document, and each returns a row; where texts differ, rows that
+    share a doc_id are documents of their own. first tells these apart: of a group it holds for one
+    document only, one of those kept. An empty table gives an empty result. Texts of any length are
+    read whole.
     """
-    docs = pick(docs, doc_id="long", text="string")
+    docs = pick(docs, doc_id="long", text="string").withColumn("row", F.xxhash64("text"))
+    docs, names = told_apart(docs)
+    found = _components_of(docs, n, percent).withColumn("first", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    if names is not None:
+        found = saved(found, "found")
+        for c in ("doc_id", "component_id"):
+            back = names.select(F.col("own").alias(c), F.col("doc_id").alias("real"))
+            found = found.join(back, c, "left").withColumn(c, F.col("real")).drop("real")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept, "row", "first")
+
+
+def _components_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, row, component_id for docs (doc_id, text, row), no doc_id with two texts."""
     signed = saved(
-        docs.mapInArrow(_signer(n), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"), "signed"
+        docs.mapInArrow(_signer(n), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary, row long"), "signed"
     )
     classes = saved(
         signed.where("k1 is not null and doc_id is not null").groupBy("k1", "k2")
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
         "classes",
     )
+    groups = saved(_groups(docs.select("doc_id", "text"), classes, n, percent), "groups")
+    named = saved(
+        classes.select("k1", "k2", "node").join(groups, "node", "left")
+        .select("k1", "k2", F.coalesce("component", "node").alias("g")),
+        "named",
+    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("g", "doc_id"))
+    return (
+        signed.select("doc_id", "n_shingles", "k1", "k2", "row").join(named, ["k1", "k2"], "left")
+        .select("doc_id", "n_shingles", "row", component.alias("component_id"))
+    )
+
+
+def _groups(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of the linked classes."""
     members = classes.select("node", "size", "sig", F.explode("bands").alias("bucket"))
     stars = saved(
-        members.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
-        .select("bucket", F.col("c.node").alias("center"), F.col("c.size").alias("center_size")),
+        members.groupBy("bucket").agg(F.min(F.struct("node", "size", "sig")).alias("c"), F.count("*").alias("n")).where("n > 1").select("bucket", "c"),
         "stars",
     )
     met = saved(members.join(stars, "bucket"), "met")
-    near = components(_tasks(met.select("bucket", "node", "size", "sig"), "bucket", ["node", "size", "sig"], _likely(percent)))
-    near = saved(near.withColumnRenamed("component", "hood"), "hoods")
-
+    tried = (
+        met.where("node != c.node").where(_close("size", "c.size", percent)).select(F.col("c.node").alias("u"), F.col("node").alias("v"), F.col("c.sig").alias("a"), F.col("sig").alias("b"))
+        .mapInArrow(_agreeing, "u long, v long").distinct()
+    )
+    tried = saved(tried, "tried")
     sets = saved(
-        docs.join(near.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+        docs.join(met.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         .mapInArrow(_setter(n), "node long, own array<long>"),
         "sets",
     )
-    tried = (
-        met.where(F.col("node") != F.col("center")).where(_close("size", "center_size", percent))
-        .select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    )
-    links = saved(_verified(tried, sets, percent), "links")
-    groups = components(links)
+    links = saved(_stars_verified(tried, sets, percent), "links")
+    groups = saved(components(links), "groups")
 
-    near = saved(near.join(groups, "node", "left").select("node", "hood", F.coalesce("component", "node").alias("grp")), "hoods")
-    split = near.groupBy("hood").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a != b").select("hood")
-    near = saved(near.join(saved(split, "split"), "hood"), "split")
-    left = saved(near.join(sets, "node"), "left")
-    more = _tasks(left, "hood", ["node", "grp", "own"], _linked(percent), apart="grp")
-    groups = components(links.unionByName(more))
-
-    named = saved(
-        classes.select("k1", "k2", "node").join(groups, "node", "left")
-        .select("k1", "k2", F.coalesce("component", "node").alias("g")),
-        "named",
-    )
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("g", "doc_id"))
-    return (
-        signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    grouped = saved(
+        met.select("bucket", "node", "size", "sig").join(groups, "node", "left").select("bucket", "node", "size", "sig", F.coalesce("component", "node").alias("grp")),
+        "grouped",
     )
+    discard(met, tried)
+    mixed = saved(grouped.groupBy("bucket").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a != b").select("bucket"), "mixed")
+    left = saved(grouped.join(mixed, "bucket"), "left")
+    hoods = saved(components(_tasks(left, "bucket", ["node", "grp", "size", "sig"], _likely(percent))), "hoods")
+    if hoods.isEmpty():
+        return groups
+    near = left.select("node", "grp", "size").distinct().join(hoods.select(F.col("node").alias("grp"), F.col("component").alias("hood")), "grp")
+    near = saved(near.join(sets, "node"), "near")
+    more = saved(_tasks(near, "hood", ["node", "grp", "own"], _linked(percent)), "more")
+    return groups if more.isEmpty() else components(links.unionByName(more))

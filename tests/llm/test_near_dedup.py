@@ -115,3 +115,50 @@ def test_blocks_of_large_groups(spark, monkeypatch):
             t[rng.randrange(len(t))] = f"w{rng.randrange(500)}"
         rows.append((i, " ".join(t)))
     assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA), 4)) == brute(rows, 4)
+
+
+def test_groups_that_meet_late(spark, monkeypatch):
+    """Chains whose ends are not linked, in blocks of a few classes or shingles."""
+    from prosemill.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 300)
+    rng = random.Random(14)
+    rows = []
+    for _ in range(4):
+        t = [f"w{rng.randrange(900)}" for _ in range(90)]
+        for i in range(25):
+            rows.append((rng.randrange(10**9), " ".join(t)))
+            t = list(t)
+            for _ in range(rng.choice([1, 1, 2])):
+                t[rng.randrange(len(t))] = f"w{rng.randrange(900)}"
+    want = brute(rows, 4)
+    assert len({c for _, c, _ in want.values()}) < 30
+    assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA), 4)) == want
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(40))
+    x, y, z = text(), text(), text()
+    rows = [(0, x), (1, x + " more"), (1, y), (1, y), (5, y + " more"), (7, z), (7, z + " more"), (8, None), (8, z), (9, None), (None, x), (-4, "other words")]
+    found = near_duplicates(spark.createDataFrame(rows, SCHEMA), 4).collect()
+    by = {}
+    hashes = {r.t: r.h for r in spark.createDataFrame(rows, SCHEMA).selectExpr("text t", "xxhash64(text) h").collect()}
+    for r in found:
+        by.setdefault((r.doc_id, r.row), set()).add((r.component_id, r.kept, r.first))
+    assert len(found) == len(rows) and all(len(v) == 1 for v in by.values())
+    at = lambda d, t: by[d, hashes[t]].copy().pop()
+    assert at(0, x) == (0, True, True) and at(1, x + " more") == (0, False, False)
+    assert at(1, y) == (1, True, True) and at(5, y + " more") == (1, False, False)
+    assert {at(7, z), at(7, z + " more")} == {(7, True, True), (7, True, False)} and at(8, z) == (7, False, False)
+    assert at(8, None) == (8, True, True) and at(9, None) == (9, True, True) and at(-4, "other words") == (-4, True, True)
+    assert at(None, x) == (None, True, True)
+
+
+def test_a_hub_has_many_neighbours(spark):
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 3000)] + [(rng.randrange(1, 3000), 5000 + i) for i in range(500)]
+    rng.shuffle(edges)
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert set(found.values()) == {0} and len(found) == 3500
