@@ -158,12 +158,13 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, k: int = 20) ->
     """
     v = F.col("v")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
-    norm = F.log2(norm) + F.log2(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / norm) * (x / norm))) / 2
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    band = F.round(F.log2(squares) / 2 * BANDS)  # null where the squares are too small to add up
+    band = F.greatest(F.lit(-9999), F.least(F.lit(9999), F.coalesce(band, F.lit(-9999)))).cast("int")
     rows = (
         pick(vectors, vec_id="long", embedding="array<double>").withColumnRenamed("embedding", "v")
         .where("vec_id is not null and v is not null").where(~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
-        .select("vec_id", "v", F.xxhash64("vec_id", "v").alias("row"), F.size("v").alias("dim"), F.round(norm * BANDS).cast("int").alias("band"))
+        .select("vec_id", "v", F.xxhash64("vec_id", "v").alias("row"), F.size("v").alias("dim"), band.alias("band"))
     )
     is_query = is_query if is_query is not None else F.col("vec_id") % 20 == 0
     counts = saved(rows.groupBy("dim", "band").agg(F.ceil(F.count("*") / SHARD).alias("shards")), "shards")

@@ -95,3 +95,5 @@ def test_edges(spark):
     assert got == {0: [(1, 2.0), (8, 2.0), (20, -1.0), (20, -1.0)], 20: [(0, -1.0), (1, -2.0), (8, -2.0)]}
     assert answers(nearest(df, F.col("vec_id") == 1, k=1)) == {1: [(8, 4.0)]}
     assert nearest(df.where("false")).count() == 0
+    extreme = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [1e-320, 0.0]), (3, [1e200, 1.0])], "vec_id long, embedding array<double>")
+    assert [i for i, _ in answers(nearest(extreme))[0]] == [3, 1, 2]
