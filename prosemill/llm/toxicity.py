@@ -9,10 +9,10 @@ and costs the same everywhere.
 
 A cell's weight is the log-odds of toxic against ordinary documents that hold such a window. Weights
 and all that follows come from documents that the dictionaries were not trained on, in turns
-(cross-fitting). A document's evidence is what its windows' weights say together, for each pair: the
-largest, the means of the largest few, the sum and the number of the positive ones. A ridge logistic
-regression over these gives the score, moved so that it passes the threshold where fewest documents
-are on the wrong side.
+(cross-fitting); the dictionaries of the last turn are the model's. A document's evidence is what its
+windows' weights say together, for each pair: the largest, the means of the largest few, the sum and
+the number of the positive ones. A ridge logistic regression over these gives the score, moved so
+that it passes the threshold where fewest documents are on the wrong side.
 """
 
 from __future__ import annotations
@@ -40,12 +40,14 @@ TOXIC_SAMPLE, ORDINARY_SAMPLE, LONGEST_SAMPLE = 1500, 4000, 20_000
 ORDINARY = ((110 << 10, 64, 8), (110 << 10, 16, 6))
 TOXIC = ((32 << 10, 64, 8, 0), (32 << 10, 16, 6, 1), (8 << 10, 16, 8, 0), (2 << 10, 16, 8, 0), (4 << 10, 16, 6, 1))
 LEVEL = 12
-FOLDS = 4
+FOLDS = 5
 RIDGE = 5.0
+#: An ordinary document on the wrong side counts as so many toxic ones.
+DROPPED = 4
 AROUND = b"<0123456789|a window of text|9876543210>"
 THRESHOLD = 0.3
-#: A cell needs so many fitted documents for a weight; others weigh nothing.
-SEEN = 3
+#: A cell needs so many fitted documents for a weight; others weigh nothing, or KNOWN.
+SEEN, KNOWN = 3, -1.0
 #: Evidence of a pair: the largest weight and means of so many largest, then three sums and the mean.
 LARGEST = (1, 2, 4, 8, 16)
 WIDTH = len(LARGEST) + 4
@@ -101,6 +103,12 @@ class Compressors:
         return [list(zip(map(len, own), a[x[3]], taken, strict=True)) for taken, x in zip(b, TOXIC, strict=True)]
 
 
+def column(weights: dict[Cell, float], cells: list[Cell]) -> list[float]:
+    """The weights of cells. One that no fitted document holds weighs nothing, or KNOWN where the
+    ordinary dictionary is the better one: texts that it was trained on have cells that others lack."""
+    return [weights[c] if c in weights else KNOWN if c[1] < c[2] else 0.0 for c in cells]
+
+
 def together(weights: np.ndarray) -> np.ndarray:
     """The evidence of a document from its windows' weights (windows x pairs)."""
     n = len(weights)
@@ -137,7 +145,7 @@ class Model:
             if not self._compressors:
                 self._compressors = Compressors(self.of)
             at = sum(map(len, self._table))
-            columns = [[w.get(c, 0.0) for c in cells] for w, cells in zip(self.weights, self._compressors.cells(new), strict=True)]
+            columns = [column(w, cells) for w, cells in zip(self.weights, self._compressors.cells(new), strict=True)]
             self._table.append(np.array(columns, np.float32).T)
             known.update(zip(new, range(at, at + len(new)), strict=True))
         return [known[w] for w in words]
@@ -168,10 +176,11 @@ def _odds(held: list[list[set[Cell]]], y: np.ndarray) -> list[dict[Cell, float]]
         count = Counter(), Counter()
         for own, label in zip(held, y, strict=True):
             count[label].update(own[j])
-        out.append({
+        of = {
             c: math.log((count[1][c] + 0.3) / (n1 + 0.6)) - math.log((count[0][c] + 0.3) / (n0 + 0.6))
             for c in sorted(count[0].keys() | count[1].keys()) if count[0][c] + count[1][c] >= SEEN
-        })
+        }
+        out.append(of)
     return out
 
 
@@ -197,8 +206,9 @@ def fit(labelled: list[tuple[str, int]]) -> Model:
         return Model()
     cells: list[list[list[Cell]]] = []  # by document and pair, one for each window
     y, fold = [], []
-    for f in range(FOLDS):
-        compressors = Compressors(dictionaries(*[[t for i, t in enumerate(c) if i % FOLDS != f] for c in classes]))
+    for f in reversed(range(FOLDS)):
+        of = dictionaries(*[[t for i, t in enumerate(c) if i % FOLDS != f] for c in classes])
+        compressors = Compressors(of)
         known: dict[str, tuple[Cell, ...]] = {}
         for label, c in enumerate(classes):
             for t in c[f::FOLDS]:
@@ -214,14 +224,14 @@ def fit(labelled: list[tuple[str, int]]) -> Model:
     for f in range(FOLDS):
         weights = _odds([h for h, g in zip(held, fold, strict=True) if g != f], y[fold != f])
         for i in np.flatnonzero(fold == f):
-            x[i] = together(np.array([[w.get(c, 0.0) for c in own] for w, own in zip(weights, cells[i], strict=True)]).T)
+            x[i] = together(np.array([column(w, own) for w, own in zip(weights, cells[i], strict=True)]).T)
     slopes, bias = _logistic(x, y)
     logit = x @ slopes + bias
     steps = np.unique(logit)
-    cuts = np.concatenate(([steps[0] - 1], (steps[1:] + steps[:-1]) / 2, [steps[-1] + 1]))
-    wrong = np.searchsorted(np.sort(logit[y == 1]), cuts) + (y == 0).sum() - np.searchsorted(np.sort(logit[y == 0]), cuts)
+    cuts = np.concatenate(([steps[0] - 1], (3 * steps[1:] + steps[:-1]) / 4, [steps[-1] + 1]))  # nearer to the toxic side
+    wrong = np.searchsorted(np.sort(logit[y == 1]), cuts) + DROPPED * ((y == 0).sum() - np.searchsorted(np.sort(logit[y == 0]), cuts))
     cut = float(cuts[wrong == wrong.min()].mean())
-    return Model(dictionaries(*classes), _odds(held, y), slopes.tolist(), bias - cut + math.log(THRESHOLD / (1 - THRESHOLD)))
+    return Model(of, _odds(held, y), slopes.tolist(), bias - cut + math.log(THRESHOLD / (1 - THRESHOLD)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:

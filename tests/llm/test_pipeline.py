@@ -91,3 +91,21 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, small):
 def test_without():
     assert corpus_pipeline.without("a b c d", [(2, 3), (2, 5)]) == "a d"
     assert corpus_pipeline.without("abc", []) == "abc" and np.size(corpus_pipeline.without("ab", [(0, 2)])) == 1
+
+
+def test_rows_that_share_an_id(spark, small):
+    """Copies and passages are judged by a row's own text; rows without doc_id stay as they are."""
+    rng = random.Random(8)
+    text = lambda k: " ".join("".join(rng.choice(ALPHABET) for _ in range(6)) for _ in range(k))
+    x, y, z, shared = text(80), text(90), text(70), text(60)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, x), (2, x), (2, y), (3, z + " " + shared), (5, shared + " " + y[:200]), (5, z[:100]), (None, x), (None, None), (6, None), (6, shared), (7, y), (7, y)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, small)
+    want = [r for r in rows if r not in ((2, x), (7, y))]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+    cut = corpus_pipeline.drop_repeated_passages(spark, kept, small).collect()
+    want = [(i, {(5, shared + " " + y[:200]): y[:200], (6, shared): ""}.get((i, t), t)) for i, t in want]
+    assert sorted(((r.doc_id, r.text) for r in cut), key=key) == sorted(want, key=key)
+    assert all(r.n_chars == (0 if r.text is None or r.text else len(r.text)) or r.n_chars == len(r.text or "") or r.n_chars is None for r in cut)

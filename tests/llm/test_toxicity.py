@@ -45,7 +45,7 @@ def test_held_out_by_language(spark):
     docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
     got = score_toxicity(docs, fit(training_rows(docs, labels))).where("held_out")
     rows = got.join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
-    for lang, recall, precision in (("en", 0.9, 0.95), ("de", 0.5, 0.9), ("fr", 0.6, 0.8)):
+    for lang, recall, precision in (("en", 0.9, 0.95), ("de", 0.7, 0.75), ("fr", 0.7, 0.75)):
         own = [r for r in rows if r.lang == lang]
         both = sum(r.predicted and r.toxic for r in own)
         assert both >= recall * sum(r.toxic for r in own) and both >= precision * sum(r.predicted for r in own), lang
