@@ -45,16 +45,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more):
-    that of smallest doc_id. Rows without doc_id stay."""
-    gone = near_duplicates(docs, n=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    that of smallest doc_id. Rows without doc_id stay. Rows that share a doc_id are told apart by
+    their texts."""
+    gone = near_duplicates(docs, n=5, percent=80).where("not first").select("doc_id", "row").distinct()
+    return _by_row(docs).join(gone.hint("merge"), ["doc_id", "row"], "left_anti").select(docs.columns)
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """docs, and the hash of the text by which operators tell rows of one doc_id apart."""
+    return docs.withColumn("row", F.xxhash64(F.col("text").cast("string")))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that an earlier document has too. Every
-    document stays; its other words are unchanged."""
+    document stays; its other words are unchanged. Rows that share a doc_id lose what was found in
+    their own text."""
     found = repeated_passages(docs, words=50, n=5, percent=80)
-    cuts = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
+    cuts = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches, "text", 4 << 20):
@@ -63,7 +70,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
                 texts.append(without(text, [(c["start"], c["end"]) for c in cuts]) if cuts and text else text)
             yield _with_texts(batch.drop_columns("cuts"), texts)
 
-    joined = docs.join(cuts.hint("merge"), "doc_id", "left").select(*docs.columns, "cuts")
+    joined = _by_row(docs).join(cuts.hint("merge"), ["doc_id", "row"], "left").select(*docs.columns, "cuts")
     return joined.mapInArrow(run, docs.schema)
 
 
