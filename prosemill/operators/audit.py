@@ -50,6 +50,12 @@ def latency_summary(samples: DataFrame, value: str, *by: str) -> DataFrame:
     return both.select(*by, "n", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "mean", "p95", "max", "min")
 
 
+def throughput(samples: DataFrame, wall_ms: float, chars: str, *by: str) -> DataFrame:
+    """Requests, and requests and characters a second of the time that a user waits."""
+    n, c = F.count("*"), F.coalesce(F.sum(chars), F.lit(0))
+    return samples.groupBy(*by).agg(n.alias("requests"), F.round(n / (wall_ms / 1000), 2).alias("requests_per_second"), F.round(c / (wall_ms / 1000), 1).alias("chars_per_second"))
+
+
 def token_lengths(samples: DataFrame, value: str, *by: str) -> DataFrame:
     quantile = lambda q: F.percentile(value, F.lit(q)).alias(f"p{round(100 * q)}")
     return samples.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), quantile(0.9), quantile(0.95), quantile(0.99), F.max(value).cast("long").alias("max"))
@@ -60,6 +66,14 @@ def reason_pivot(items: DataFrame, by: str, reason: str, reasons: list[str]) ->
     return items.groupBy(by).agg(*[F.count_if(F.col(reason) == r).alias(r.replace("-", "_")) for r in reasons])
 
 
+def reason_table(items: DataFrame, by: str, reason: str) -> DataFrame:
+    """The pivot in long form, over all reasons that occur anywhere: by, reason, n, 0 where a row of
+    by has none. Both vocabularies are small."""
+    some = items.where(F.col(reason).isNotNull()).groupBy(by, reason).agg(F.count("*").alias("n"))
+    every = items.select(by).distinct().crossJoin(some.select(reason).distinct())  # vocabularies, not rows
+    return every.join(some, [by, reason], "left").select(by, reason, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def reason_samples(items: DataFrame, reason: str, text: str, order: str, k: int = 5, chars: int = 160) -> DataFrame:
     """Per reason its count and its first k texts, cut short: a bounded list, by rank."""
     rows = items.where(F.col(reason).isNotNull())

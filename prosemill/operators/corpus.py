@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions.text import collapsed, content_tokens, jaccard, overlap_norm, stripped, word_list
+from prosemill.sources.files import nfkc
 
 # fixed values: marks of broken encodings
 STRICT = ("â", "Ã")
@@ -84,12 +85,18 @@ def filter_divergence(texts: DataFrame, text: str, strict: Sequence[str] = STRIC
     )
 
 
+def divergence_examples(texts: DataFrame, key: str, text: str, strict: Sequence[str] = STRICT, targeted: Sequence[str] = TARGETED, n: int = 12, chars: int = 200) -> DataFrame:
+    """The first n texts by key, cut short, that one of the filters drops and the other doesn't."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    a, b = is_damaged(t, "strict", strict), is_damaged(t, "targeted", targeted=targeted)
+    only = F.when(a & ~b, "strict").when(b & ~a, "targeted")
+    return texts.select(key, only.alias("only"), F.substring(t, 1, chars).alias("example")).where("only is not null").orderBy(key).limit(n)
+
+
 def overlap_audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """left (idx, text) against right (text) after normalisation: items, unique items, overlapping
     items and their share. The right side is made distinct, so its repeats don't count."""
-    l = left.select("idx", overlap_norm(F.col("text")).alias("norm"))
-    r = right.select(overlap_norm(F.col("text")).alias("norm")).distinct().withColumn("hit", F.lit(1))
-    return l.join(r, "norm", "left").agg(
+    return _overlaps(left, right).agg(
         F.count("*").alias("left_items"),
         F.countDistinct("norm").alias("left_unique"),
         F.count("hit").alias("overlapping"),
@@ -97,10 +104,24 @@ def overlap_audit(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def _overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left's idx and normal form, and ``hit`` where right has it; both in compatibility form first."""
+    l = nfkc(left.select("idx", "text"), "text").select("idx", "text", overlap_norm(F.col("text")).alias("norm"))
+    r = nfkc(right.select("text"), "text").select(overlap_norm(F.col("text")).alias("norm")).distinct().withColumn("hit", F.lit(1))
+    return l.join(r, "norm", "left")
+
+
+def overlap_examples(left: DataFrame, right: DataFrame, n: int = 5, chars: int = 220) -> DataFrame:
+    """Indices of left's overlapping items, and of the first n also the text, cut short."""
+    hits = _overlaps(left, right).where("hit is not null").select("idx", "text")
+    first = hits.orderBy("idx").limit(n).select(F.col("idx").alias("i"), F.substring("text", 1, chars).alias("example"))
+    return hits.join(F.broadcast(first), F.col("idx") == F.col("i"), "left").select("idx", "example")  # n rows
+
+
 def exact_duplicates(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Groups of texts that are equal after normalisation: smallest key and number of copies."""
     return (
-        texts.select(key, overlap_norm(F.col(text)).alias("norm")).where("norm != ''").groupBy(F.sha2("norm", 256).alias("norm_sha"))
+        nfkc(texts.select(key, text), text).select(key, overlap_norm(F.col(text)).alias("norm")).where("norm != ''").groupBy(F.sha2("norm", 256).alias("norm_sha"))
         .agg(F.min(key).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     )
 

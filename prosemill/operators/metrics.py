@@ -144,6 +144,15 @@ def corpus_bleu(rows: DataFrame, *by: str) -> DataFrame:
     return both.select(*by, F.when((F.col("least") > 0) & (F.col("orders") == 4), 100 * bp * F.col("p")).otherwise(F.lit(0.0)).alias("bleu"))
 
 
+def normalised_for_scoring(rows: DataFrame, systems: list[str], form) -> tuple[DataFrame, DataFrame]:
+    """Every system's output in the form that references have, and how many of each changed by it:
+    system, changed, n."""
+    new = rows.withColumns({s: form(F.col(s)) for s in systems})
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), (~F.col(s).eqNullSafe(form(F.col(s)))).alias("changed")) for s in systems]))
+    changed = rows.select(each.alias("x")).groupBy("x.system").agg(F.count_if("x.changed").alias("changed"), F.count("*").alias("n"))
+    return new, changed
+
+
 #: Up to so many rows a bootstrap draws by random.Random, as its description does; above, and in
 #: blocks of about so many rows, by numpy's generators.
 BLOCK = 2048

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.functions.text import collapsed
+from prosemill.functions.text import collapsed, let
 from prosemill.operators.runs import unit_skip_reason, word_count
 
 # fixed values: vocabularies that stored records use
@@ -114,10 +114,15 @@ def best_checkpoint(losses: DataFrame) -> DataFrame:
 
 def dropped_negation(before: Column, after: Column) -> Column:
     """Whether the answer is the input less exactly one negation."""
-    a, b = F.split(F.lower(collapsed(before)), " "), F.split(F.lower(collapsed(after)), " ")
-    at = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: F.element_at(a, i).isin(*NEGATIONS))
-    cut = lambda i: F.concat(F.slice(a, F.lit(1), i - 1), F.slice(a, i + 1, F.size(a)))
-    return (F.size(a) == F.size(b) + 1) & F.exists(at, lambda i: cut(i) == b)
+    split = lambda c: F.split(F.lower(collapsed(c)), " ")
+
+    def dropped(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        at = F.filter(F.transform(a, lambda w, i: F.when(w.isin(*NEGATIONS), i + 1)), lambda i: i.isNotNull())
+        cut = lambda i: F.concat(F.slice(a, F.lit(1), i - 1), F.slice(a, i + 1, F.size(a)))
+        return (F.size(a) == F.size(b) + 1) & F.exists(at, lambda i: cut(i) == b)
+
+    return let(F.struct(split(before).alias("a"), split(after).alias("b")), dropped)
 
 
 def comparison_plan(units: DataFrame, section: str, order: str) -> DataFrame:

@@ -146,7 +146,8 @@ def readability(entries: DataFrame, text: str, sentences, *by: str) -> DataFrame
 
 
 def rewriting(entries: DataFrame, before: str, after: str, *by: str) -> DataFrame:
-    """Tokens kept, added and dropped, rows split or merged, and type-token ratios over all rows.
+    """Tokens kept, added and dropped, and type-token ratios over all rows (rewritten_sentences has the
+    rows split and merged).
 
     Both sides' tokens become (row, token, counts) in one aggregation; vocabularies are counted from
     distinct tokens.
@@ -168,6 +169,18 @@ def rewriting(entries: DataFrame, before: str, after: str, *by: str) -> DataFram
     )
 
 
+def rewritten_sentences(entries: DataFrame, before: str, after: str, sentences, *by: str) -> DataFrame:
+    """Rows split into more sentences and merged into fewer."""
+    n, m = F.size(sentences(F.col(before))), F.size(sentences(F.col(after)))
+    return entries.groupBy(*by).agg(F.count_if(m > n).alias("split"), F.count_if(m < n).alias("merged"))
+
+
+def cleared(cache: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An empty cache, an empty ownership index, and how many answers were cleared; the run log is
+    no part of it."""
+    return cache.where("false"), owners.where("false"), cache.agg(F.count("*").alias("cleared"))
+
+
 def best_marked(values: DataFrame, by: list[str], value: str, higher: Column) -> DataFrame:
     """values with ``best``: whether a value is the best of its metric; ties are all marked."""
     w = Window.partitionBy(*by)

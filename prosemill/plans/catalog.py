@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prosemill.plans import corpus, metrics, pages, reports, runs, streams
+from prosemill.plans import corpus, metrics, pages, records, reports, runs, streams
 from prosemill.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "metrics", "pages", "reports", "runs", "streams"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "metrics", "pages", "records", "reports", "runs", "streams"]

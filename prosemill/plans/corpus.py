@@ -139,7 +139,13 @@ def few_shot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.select_examples(pairs, spark.createDataFrame(list(zip(order, range(len(order)), strict=True)), "idx long, rank int"))
 
 
-@query()
+def _drawn(totals: tuple[int, ...], n: int, seed: int) -> str:
+    """The indices that random.Random draws of tables of these sizes."""
+    return ", ".join(f"({t}, {i})" for t in totals for i in op.seeded_indices(t, n, seed))
+
+
+@query(f"""WITH v(total, idx) AS (VALUES {_drawn((200, 1000, 10_000), 100, 42)})
+SELECT doc_id AS idx, lang FROM documents JOIN v ON v.idx = doc_id AND v.total = (SELECT count(*) FROM documents)""")
 def seeded_test_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "lang")
     return op.seeded_sample(docs, 100, 42)

@@ -28,16 +28,18 @@ def report_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.refreshed(saved, live, ["total"])
 
 
-@query(r"""WITH r AS (SELECT event_type AS page, value > 50 AS changed, value > 90 AS cached, CASE WHEN value < 10 THEN 'empty' WHEN value < 20 THEN 'too_long' END AS reason, CAST(floor(value) AS BIGINT) AS words FROM events)
+@query(r"""WITH r AS (SELECT event_type AS page, value, value > 50 AS changed, value > 90 AS cached, CASE WHEN value < 10 THEN 'empty' WHEN value < 20 THEN 'too_long' END AS reason, CAST(floor(value) AS BIGINT) AS words FROM events)
 SELECT page, count(*) AS requests, count(*) FILTER (cached) AS from_cache, count(*) FILTER (changed) AS changed, count(*) FILTER (NOT changed) AS unchanged, round(count(*) FILTER (changed) / count(*), 3) AS changed_share,
- count(reason) AS guarded, quantile_cont(words, 0.5) AS words_median, max(words) AS words_max FROM r GROUP BY page""")
+ count(reason) AS guarded, quantile_cont(words, 0.5) AS words_median, max(words) AS words_max, round(quantile_cont(CASE WHEN changed THEN value / 10 END, 0.5), 6) AS compression_median,
+ 'empty=' || count(*) FILTER (reason = 'empty') || ',too_long=' || count(*) FILTER (reason = 'too_long') AS guard_reasons FROM r GROUP BY page""")
 def site_page_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     r = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("page"), (v > 50).alias("changed"), (v > 90).alias("cached"), F.when(v < 10, "empty").when(v < 20, "too_long").alias("reason"),
         F.floor(v).alias("words"), F.lit(10).alias("chars"), v.alias("out_chars"),
     )
-    return audit.page_rollup(r, "page").drop("compression_median", "guard_reasons")
+    reasons = F.array_join(F.transform(F.map_entries("guard_reasons"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    return audit.page_rollup(r, "page").withColumns({"guard_reasons": reasons, "compression_median": F.round("compression_median", 6)})
 
 
 @query("""WITH s AS (SELECT lang AS cut, count(*) AS found, count(*) FILTER (n_chars > 1000) AS sent, count(*) FILTER (n_chars > 5000) AS changed FROM documents GROUP BY lang)

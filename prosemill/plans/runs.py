@@ -11,6 +11,7 @@ from prosemill.operators import audit, guards, runs
 from prosemill.plans import sql as q
 from prosemill.plans.corpus import turn_pairs
 from prosemill.plans.registry import query, table
+from prosemill.sources.files import as_json
 
 SKIPS = ["empty-chunk", "bare-url", "under-min-words", "no-letters"]
 _SKIP_SQL = f"""CASE WHEN {q.collapsed('line')} = '' THEN 'empty-chunk' WHEN regexp_matches({q.collapsed('line')}, 'https?://') THEN 'bare-url'
@@ -65,17 +66,13 @@ def prompted_guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_pairs(spark, sf_dir).select(F.coalesce(reason, F.lit("accepted")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(rf"""WITH {_TURNS}, r AS (SELECT CASE WHEN len({_W('source')}) > 0 AND len({_W('target')}) < 0.25 * len({_W('source')}) THEN 'too_short'
+@query(rf"""WITH {_TURNS}, r AS (SELECT CASE WHEN len({_W('target')}) > 0 AND len({_W('target')}) < 0.25 * len({_W('source')}) THEN 'too_short'
   WHEN len(list_distinct({_LOW('source')})) BETWEEN 1 AND 3 AND NOT list_has_any({_LOW('source')}, {_LOW('target')}) THEN 'hallucination' ELSE 'neither' END AS kind FROM t WHERE target IS NOT NULL)
 SELECT kind, count(*) AS n FROM r GROUP BY kind""")
 def retention_and_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t = F.col("source"), F.col("target")
     kind = F.when(guards.output_reason(s, t, document=True) == "too_short", "too_short")
-    from prosemill.functions.text import letter_tokens
-
-    n, m = F.size(letter_tokens(s)), F.size(letter_tokens(t))
-    short = F.when((n > 0) & (m < 0.25 * n), "too_short")
-    return turn_pairs(spark, sf_dir).select(F.coalesce(kind, short, guards.hallucination_reason(s, t), F.lit("neither")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return turn_pairs(spark, sf_dir).select(F.coalesce(kind, guards.hallucination_reason(s, t), F.lit("neither")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(rf"""WITH RECURSIVE u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, CAST(ceil(len({q.words('text')}) * 1.6) AS BIGINT) AS n FROM conversations),
@@ -228,9 +225,9 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("session_id", runs.run_status(F.col("t") > 8, F.col("n") % 3 == 0, F.col("w")).alias("status"))
 
 
-@query("""SELECT conv_id, turn, json_object('conv_id', conv_id, 'turn', turn, 'role', role) AS json FROM conversations""")
+@query("""SELECT json_object('conv_id', conv_id, 'turn', turn, 'role', role) AS json FROM conversations""")
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("json"))
+    return as_json(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
 
 
 @query()
