@@ -33,9 +33,20 @@ SHORTEST = 16
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A text without any of these, in lower case, has no sensitive word and no assignment.
 _STEMS = ("passw", "secret", "token", "key", "credential", "bearer", "auth")
-#: Bytes that a candidate must add for each of its characters. Base64 holds 0.75 bytes a character.
-NOVELTY = 0.6
-_DIGIT = re.compile("[0-9]")
+#: Bytes that a candidate must add for each of its characters. Base64 holds 0.75 bytes a character, a
+#: decimal number 0.42. Letters alone must be of both cases, this share of either at least, and be
+#: newer: words and names joined by capitals are letters, too.
+NOVELTY, NUMBER_NOVELTY, LETTER_NOVELTY, EITHER_CASE = 0.6, 0.33, 0.65, 0.28
+_DIGIT, _LETTER, _UPPER = re.compile("[0-9]"), re.compile("[A-Za-z]"), re.compile("[A-Z]")
+
+
+def least_novelty(own: str) -> float:
+    """What a candidate's characters demand; more than any can add where they rule a key out."""
+    if _DIGIT.search(own):
+        return NOVELTY if _LETTER.search(own) else NUMBER_NOVELTY
+    upper = len(_UPPER.findall(own)) / max(1, len(_LETTER.findall(own)))
+    return LETTER_NOVELTY if EITHER_CASE <= upper <= 1 - EITHER_CASE else 9.0
+
 
 #: What code and prose around secrets commonly hold; it primes both compressors.
 IDENTIFIERS = """
@@ -88,7 +99,8 @@ class Scanner:
             at, last = max(done, word.end()), word.end() + SURROUNDING
             while m := _CANDIDATE.search(text, at, last + SHORTEST):
                 end = done = at = _CANDIDATE.match(text, m.start()).end()
-                if _DIGIT.search(text, m.start(), end) and self.novelty(text, m.start(), end) >= NOVELTY:
+                least = least_novelty(text[m.start() : end])
+                if least < 9 and self.novelty(text, m.start(), end) >= least:
                     out.append((m.start(), 3, end))
         return out
 

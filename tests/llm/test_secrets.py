@@ -57,3 +57,50 @@ def test_edges(spark):
     got = sorted((r.doc_id or 0, r.spans) for r in find_secrets(df).collect())
     assert got == [(0, "assign:0:13"), (1, ""), (1, ""), (2, "hex:0:200000"), (3, "")]
     assert find_secrets(df.where("false")).count() == 0
+
+
+def test_keys_of_every_alphabet_are_novel():
+    """Random keys after a sensitive word are reported; words, identifiers and repeats are not."""
+    import random
+    import string
+
+    rng, scanner = random.Random(1), Scanner()
+
+    def reported(make):
+        texts = ["Some words before it. auth bearer " + make() + " and then the text goes on" for _ in range(100)]
+        return sum(bool(scanner.novel(t)) for t in texts)
+
+    for alphabet, n in ((string.ascii_letters, 24), (string.digits, 20), (string.ascii_letters + string.digits, 32), ("0123456789abcdef", 23)):
+        assert reported(lambda: "".join(rng.choice(alphabet) for _ in range(n))) >= 95  # noqa: B023
+    parts = "th on er an re ed in ou ha st en ti".split()
+    assert reported(lambda: "".join(rng.choice(parts) for _ in range(12))) == 0
+    assert reported(lambda: "getUserNameFromAccessTokenFactoryBean") == 0
+    key = "k4" + "".join(rng.choice(string.ascii_letters) for _ in range(30))
+    assert scanner.novel(f"{key} {key} {key} token {key}") == []
+
+
+def test_novel_spans_as_their_definition():
+    """Brute force: every run of key-like characters that begins in reach of a sensitive word, judged
+    by the bytes it adds."""
+    import random
+    import re
+    import string
+
+    from prosemill.llm.secrets import SENSITIVE, SHORTEST, SURROUNDING, least_novelty
+
+    rng, scanner = random.Random(3), Scanner()
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(5, 60)):
+            words.append(rng.choice([rng.choice(SENSITIVE), "plain", "a", "".join(rng.choice(string.ascii_letters + string.digits + "_-") for _ in range(rng.choice([5, 17, 30])))]))
+        text = " ".join(words)
+        ends = [m.end() for m in re.finditer("|".join(map(re.escape, SENSITIVE)), text, re.IGNORECASE)]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", text):
+            near = any(e <= m.start() <= e + SURROUNDING for e in ends)
+            if near and scanner.novelty(text, *m.span()) >= least_novelty(m[0]):
+                want.append((m.start(), 3, m.end()))
+        got = scanner.novel(text)
+        assert [x for x in got if x in want] == got
+        inside = [x for x in want if not any(x[0] < e < x[2] for e in ends)]
+        assert set(inside) <= set(got) and SHORTEST == 16
