@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,26 +36,28 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_name(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_name(page_id: int | None, digest: str, place: str = "") -> str:
+    """The identifier of a page's response to that payload; with a place, of the record there."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{place}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, place: str = "") -> bytes:
     """One WARC/1.1 record; a revisit has the digest and size of its payload but not the payload."""
+    digest = payload_digest(payload)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_name(page_id)}",
+        f"WARC-Record-ID: {record_name(page_id, digest, place)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {''.join((url or 'about:blank').split())}",
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http;msgtype=response",
     ]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html;charset=utf-8\r\n\r\n"
     if revisit:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_name(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_name(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     else:
         body += payload
     head.append(f"Content-Length: {len(body)}")
@@ -83,12 +86,13 @@ class BundleWriter:
         self.sizes: list[tuple[int, int]] = []
         self.open: list[bytes] = []
         self.filled = self.total = 0
-        self.index: list[tuple[int | None, int, int]] = []  # page_id, frame, offset in it
+        self.index: list[tuple[str, int | None, int, int]] = []  # record's name, page_id, frame, offset in it
 
     def add(self, page_id: int | None, data: bytes) -> None:
         if self.filled and self.filled + len(data) > FRAME_BYTES:
             self.end_frame()
-        self.index.append((page_id, len(self.frames), self.filled))
+        name = data[data.index(b"WARC-Record-ID: ") + 16 :].split(b"\r\n", 1)[0].decode()
+        self.index.append((name, page_id, len(self.frames), self.filled))
         self.open.append(data)
         self.filled += len(data)
         self.total += len(data)
@@ -130,22 +134,27 @@ class BundleReader:
         return out
 
 
-_BUNDLES = "bundle binary, records array<struct<page_id: long, frame: int, offset: int>>"
+_BUNDLES = "bundle binary, records array<struct<record_id: string, page_id: long, frame: int, offset: long>>"
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int32())]))
+    """page_id, url, html, known, run: bundles of records. A response that others may refer to is named
+    by its page and payload, any other record by where it was written."""
+    kind = pa.list_(pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64())]))
+    part, count = TaskContext.get().partitionId(), 0
 
     def done(w: BundleWriter) -> pa.RecordBatch:
         data = w.close()
-        index = [{"page_id": p, "frame": f, "offset": o} for p, f, o in w.index]
+        index = [{"record_id": r, "page_id": p, "frame": f, "offset": o} for r, p, f, o in w.index]
         return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([index], kind)], ["bundle", "records"])
 
     writer = BundleWriter()
     for batch in parts_of(batches, "html", 4 << 20):
-        for page_id, url, html, known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for page_id, url, html, known, run in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             revisit = known is not None and page_id != known
-            writer.add(page_id, record(page_id, url, (html or "").encode(), known if revisit else None, revisit))
+            place = "" if page_id is not None and page_id == known else f"{run}:{part}:{count}"
+            writer.add(page_id, record(page_id, url, (html or "").encode(), known if revisit else None, revisit, place))
+            count += 1
             if writer.total >= BUNDLE_BYTES:
                 yield done(writer)
                 writer = BundleWriter()
@@ -155,11 +164,15 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_bundles(pages: DataFrame, least: int = 0) -> DataFrame:
     """A table of bundles, written to the shared folder, of pages (page_id, url, html): bundle
-    binary, records array of (page_id, frame, offset).
+    binary, records array of (record_id, page_id, frame, offset).
 
     Of records with equal payloads of at least ``least`` bytes the one with the largest page_id is
     the response and others revisit it; rows that share that page_id are all responses, and so is
-    a payload none of whose rows has a page_id. A row without page_id revisits one that has.
+    a payload none of whose rows has a page_id. A row without page_id revisits one that has. Records
+    have identifiers of their own, but for rows of equal page_id and payload that others revisit.
+
+    A common payload's rows meet in a join with one row, whose other side is written: such a
+    partition can be split.
     """
     pages = pick(pages, page_id="long", url="string", html="string")
     pages = pages.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
@@ -170,7 +183,8 @@ def write_bundles(pages: DataFrame, least: int = 0) -> DataFrame:
         "known",
     )
     rows = pages.join(known, "digest", "left")
-    return saved(rows.select("page_id", "url", "html", F.when(long, F.col("known")).alias("known")).mapInArrow(_write, _BUNDLES), "warc")
+    run = F.lit(uuid.uuid4().hex).alias("run")
+    return saved(rows.select("page_id", "url", "html", F.when(long, F.col("known")).alias("known"), run).mapInArrow(_write, _BUNDLES), "warc")
 
 
 def read_bundles(bundles: DataFrame, payloads: bool = False) -> DataFrame:
@@ -197,8 +211,10 @@ def read_bundles(bundles: DataFrame, payloads: bool = False) -> DataFrame:
                             raise ValueError(f"page {x['page_id']} is damaged")
                     else:
                         refers = int(head["X-Refers-To-Page-ID"])
+                        if head["WARC-Refers-To"] != record_name(refers, digest):
+                            raise ValueError(f"page {x['page_id']} refers to no record of page {refers}")
                     own = int(head["X-Page-ID"]) if head["X-Page-ID"] else None
-                    if own != x["page_id"]:
+                    if (own, head["WARC-Record-ID"]) != (x["page_id"], x["record_id"]):
                         raise ValueError(f"the index names {x['page_id']}, the record {own}")
                     rows.append((own, int(head["X-Payload-Length"]), digest, head["WARC-Type"], refers, payload))
                 own, size, digest, kind, refers, payload = zip(*rows, strict=True)

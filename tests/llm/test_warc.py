@@ -54,12 +54,29 @@ def test_bundle_is_plain_zstandard_and_seekable():
     data = w.close()
     reader = warc.BundleReader(data)
     assert len(reader) > 3
-    for i, frame, offset in (w.index[0], w.index[77], w.index[199]):
+    for name, i, frame, offset in (w.index[0], w.index[77], w.index[199]):
         head, block, _ = warc.parse_record(reader.frame(frame), offset)
-        assert head["X-Page-ID"] == str(i) and block.endswith(rows[i][2])
+        assert head["X-Page-ID"] == str(i) and head["WARC-Record-ID"] == name and block.endswith(rows[i][2])
     whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
     at = n = 0
     while at < len(whole):
         _, _, at = warc.parse_record(whole, at)
         n += 1
     assert n == 200
+
+
+def test_records_are_named_once(spark):
+    rows = [(None, "u", "same"), (None, "u", "same"), (3, "u", "same"), (3, "u", "other"), (3, "v", "other"), (4, "w", "own"), (9, "x", "same")]
+    bundles = warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    heads = []
+    for b in bundles.collect():
+        reader = warc.BundleReader(b.bundle)
+        for x in b.records:
+            head, _, _ = warc.parse_record(reader.frame(x.frame), x.offset)
+            assert head["WARC-Record-ID"] == x.record_id
+            heads.append(head)
+    names = [h["WARC-Record-ID"] for h in heads]
+    assert len(names) == 7 and len(set(names)) == 6  # page 3 is twice the response of "other"
+    by_name = {h["WARC-Record-ID"]: h for h in heads}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3 and all(by_name[h["WARC-Refers-To"]]["X-Page-ID"] == "9" for h in revisits)
