@@ -46,19 +46,24 @@ def is_changed(before: Column, after: Column) -> Column:
 
 def pack_units(units: DataFrame, section: str, order: str, text: str, most: int = 512) -> DataFrame:
     """Groups of a section's units in order, each closed before the unit that would exceed ``most``
-    estimated tokens; a larger unit is alone. A fold over one section's units."""
-    ordered = units.groupBy(section).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), estimated_tokens(F.col(text)).alias("n")))).alias("u"))
-    start = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("t"), F.array().cast("array<struct<o:bigint,n:bigint,g:bigint>>").alias("out"))
+    estimated tokens; a larger unit is alone. A fold over one section's units finds where groups
+    begin and keeps nothing else, so its time is in proportion to the section; the groups are slices
+    between these places."""
+    ordered = units.groupBy(section).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), estimated_tokens(F.col(text)).cast("long").alias("n")))).alias("u"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("i"), zero.alias("t"), F.array(F.lit(1).cast("long")).alias("begins"))
 
     def step(s: Column, x: Column) -> Column:
         close = (s["t"] > 0) & (s["t"] + x["n"] > most)
-        g = s["g"] + close.cast("long")
-        t = F.when(close, F.lit(0)).otherwise(s["t"]) + x["n"]
-        return F.struct(g.alias("g"), t.alias("t"), F.concat(s["out"], F.array(F.struct(x["o"].cast("long").alias("o"), x["n"].alias("n"), g.alias("g")))).alias("out"))
-
-    return ordered.select(section, F.explode(F.aggregate("u", start, step, lambda s: s["out"])).alias("x")).select(
-        section, F.col("x.o").alias(order), F.col("x.n").alias("tokens"), F.col("x.g").alias("group_no")
-    )
+        i = s["i"] + 1
+        begins = F.when(close, F.concat(s["begins"], F.array(i))).otherwise(s["begins"])
+        return F.struct(i.alias("i"), (F.when(close, zero).otherwise(s["t"]) + x["n"]).alias("t"), begins.alias("begins"))
+
+    found = ordered.withColumn("begins", F.aggregate("u", start, step, lambda s: s["begins"]))
+    ends = F.concat(F.slice("begins", 2, F.size("u")), F.array((F.size("u") + 1).cast("long")))
+    groups = found.select(section, "u", F.posexplode(F.arrays_zip("begins", ends.alias("ends"))).alias("g", "x"))
+    each = groups.select(section, F.col("g").cast("long").alias("group_no"), F.explode(F.slice("u", F.col("x.begins").cast("int"), (F.col("x.ends") - F.col("x.begins")).cast("int"))).alias("y"))
+    return each.select(section, F.col("y.o").alias(order), F.col("y.n").alias("tokens"), "group_no")
 
 
 def section_numbers(units: DataFrame, page: str, order: str, heading: Column) -> DataFrame:
