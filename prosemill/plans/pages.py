@@ -8,27 +8,53 @@ from pyspark.sql import functions as F
 from prosemill.functions.normalise import for_model, from_model
 from prosemill.functions.text import collapsed, sha16
 from prosemill.operators import audit, page_units, runs, simplifier, write_back
+from prosemill.plans import sql as q
 from prosemill.plans.registry import query, table
 
 
-@query()
+#: The test pages' leaf elements: a start tag and all up to the next tag that isn't a link, bold or a
+#: line break; what is in the article is in scope, its lists and all but footers and menus are content.
+_LEAF = "<(li|div|h1|p|footer)(?: [^>]*)?>([^<]*(?:<(?:/?[ab]|a [^>]*|br)>[^<]*)*)"
+_UNENTITLED = "x"
+for _name, _char in (("copy", "©"), ("middot", "·"), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+    _UNENTITLED = f"replace({_UNENTITLED}, '&{_name};', '{_char}')"
+_PART = f"SELECT page_id, {{0}} AS part, regexp_extract_all({{1}}, '{_LEAF}', 1) AS tags, regexp_extract_all({{1}}, '{_LEAF}', 2) AS texts FROM pages WHERE html IS NOT NULL"
+_HTML_UNITS = rf"""parts AS ({_PART.format(0, "split_part(split_part(html, '</head>', 2), '<article>', 1)")} UNION ALL {_PART.format(1, "split_part(split_part(html, '<article>', 2), '</article>', 1)")}
+ UNION ALL {_PART.format(2, "split_part(html, '</article>', 2)")}),
+leaves AS (SELECT page_id, part, unnest(range(len(tags))) AS i, unnest(tags) AS tag, unnest(texts) AS content FROM parts),
+placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY part, i) - 1 AS pos FROM leaves),
+cut AS (SELECT *, string_split(content, '<br>') AS pieces FROM placed),
+raw AS (SELECT page_id, part, pos, tag, regexp_replace(content, '<[^>]*>', '', 'g') AS el, unnest(range(len(pieces))) AS chunk, regexp_replace(unnest(pieces), '</?[ab][^>]*>', '', 'g') AS x FROM cut),
+chunked AS (SELECT page_id, pos, chunk, tag, part = 1 AS in_scope, tag = 'footer' OR (tag = 'li' AND part = 0) AS boilerplate, {_UNENTITLED.replace('(x,', '(el,', 1)} AS el, {_UNENTITLED} AS line FROM raw),
+units AS (SELECT *, CASE WHEN {q.collapsed('el')} = '' THEN 'no-text' WHEN regexp_matches(el, '\b(function|var|let|const|=>)\b|[{{}}<>;=]') THEN 'code-like-text' WHEN {q.collapsed('line')} = '' THEN 'empty-chunk' WHEN regexp_matches({q.collapsed('line')}, 'https?://') THEN 'bare-url'
+ WHEN len({q.words('line')}) < 4 THEN 'under-min-words' WHEN NOT regexp_matches({q.collapsed('line')}, '\p{{L}}') THEN 'no-letters' END AS reason, len({q.words('line')}) AS words FROM chunked),
+document AS (SELECT *, CASE WHEN tag = 'h1' THEN 'section-heading' WHEN tag IN ('div', 'footer') THEN 'not-document-body-tag' ELSE reason END AS document_reason FROM units)"""
+
+
+@query(f"WITH {_HTML_UNITS} SELECT page_id, pos, chunk, tag, in_scope, boilerplate, reason, words FROM units")
 def html_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = page_units.with_reasons(page_units.page_units(table(spark, sf_dir, "pages")))
     return units.select("page_id", "pos", "chunk", "tag", "in_scope", "boilerplate", "reason", runs.word_count(F.col("raw")).alias("words"))
 
 
-@query()
+@query(f"WITH {_HTML_UNITS} SELECT tag, coalesce(document_reason, 'sent') AS reason, count(*) AS n FROM document GROUP BY ALL")
 def html_skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = page_units.with_reasons(page_units.page_units(table(spark, sf_dir, "pages")), document=True)
     return units.groupBy("tag", F.coalesce("reason", F.lit("sent")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_HTML_UNITS}, numbered AS (SELECT *, pos * 100000 + chunk AS place, sum((tag = 'h1' AND chunk = 0)::INT) OVER (PARTITION BY page_id ORDER BY pos, chunk ROWS UNBOUNDED PRECEDING) AS section FROM document),
+u AS (SELECT page_id, section, place, row_number() OVER (PARTITION BY page_id, section ORDER BY place) AS k, CAST(ceil(words * 1.6) AS BIGINT) AS n FROM numbered WHERE in_scope AND document_reason IS NULL),
+f AS (SELECT page_id, section, place, k, n, n AS t, 0 AS g FROM u WHERE k = 1 UNION ALL
+ SELECT u.page_id, u.section, u.place, u.k, u.n, CASE WHEN f.t > 0 AND f.t + u.n > 512 THEN u.n ELSE f.t + u.n END, f.g + (CASE WHEN f.t > 0 AND f.t + u.n > 512 THEN 1 ELSE 0 END)
+ FROM f JOIN u ON u.page_id = f.page_id AND u.section = f.section AND u.k = f.k + 1)
+SELECT page_id, section, place AS "at", n AS tokens, g AS group_no FROM f""")
 def html_section_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_units.section_groups(page_units.page_units(table(spark, sf_dir, "pages")))
 
 
-@query()
+@query(f"""WITH {_HTML_UNITS} SELECT tag, count(*) FILTER (reason IS NOT NULL AND in_scope AND words >= 12) AS prose_skipped, coalesce(sum(words) FILTER (reason IS NOT NULL AND in_scope AND words >= 12), 0) AS prose_skipped_words,
+ count(*) FILTER (reason IS NULL AND boilerplate) AS boilerplate_sent, count(*) FILTER (reason IS NULL AND NOT in_scope) AS sent_outside FROM units GROUP BY tag""")
 def html_selection_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = page_units.with_reasons(page_units.page_units(table(spark, sf_dir, "pages")))
     items = units.select(
