@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.functions.normalise import for_model, from_model
-from prosemill.functions.text import collapsed, sha16
+from prosemill.functions.text import OVERLAP_STOP_WORDS, OVERLAP_TOKEN, collapsed, sha16
 from prosemill.operators import audit, page_units, runs, simplifier, write_back
 from prosemill.plans import sql as q
 from prosemill.plans.registry import query, table
@@ -93,13 +93,33 @@ def normalised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", sha16(model).alias("model_form"), sha16(from_model(model, text)).alias("prose_form"), (collapsed(text) != model).alias("changed"))
 
 
-@query()
+def _vocabulary(c: str) -> str:
+    listed = ", ".join(f"'{w}'" for w in OVERLAP_STOP_WORDS)
+    return f"list_distinct(list_filter({q.all_of(f'lower({c})', OVERLAP_TOKEN)}, lambda w: w NOT IN ({listed})))"
+
+
+_SIZE = r"len(list_filter(string_split_regex({}, '\s+'), lambda w: w <> ''))"
+
+
+@query(rf"""WITH RECURSIVE c AS MATERIALIZED (SELECT conv_id AS id, list(text ORDER BY turn, role, text) AS units FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+t AS MATERIALIZED (SELECT id, units, list_filter(string_split(regexp_replace(trim(array_to_string(units, ' '), ' ' || chr(10) || chr(9)), '([.?!]["''”’)\]]?)\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS told FROM c),
+v AS MATERIALIZED (SELECT id, len(units) AS n, len(told) AS m, list_transform(units, lambda u: {_vocabulary('u')}) AS known, list_transform(told, lambda s: {_vocabulary('s')}) AS spoken,
+ list_transform(told, lambda s: {_SIZE.format('s')}) AS length, list_transform(units, lambda u: {_SIZE.format('u')}) AS size FROM t),
+w AS MATERIALIZED (SELECT *, list_transform(size, lambda k: list_sum(length) * k / (CASE WHEN list_sum(size) = 0 THEN n ELSE list_sum(size) END)) AS share FROM v),
+f AS (SELECT id, 0 AS i, 1 AS unit, 0::HUGEINT AS had FROM w UNION ALL
+ SELECT f.id, f.i + 1, CASE WHEN x.moves THEN f.unit + 1 ELSE f.unit END, CASE WHEN x.moves THEN 0 ELSE f.had END + w.length[f.i + 1]
+ FROM f JOIN w ON w.id = f.id AND f.i < w.m, LATERAL (SELECT CASE WHEN f.had > 0 AND f.unit < w.n THEN len(list_intersect(w.spoken[f.i + 1], w.known[f.unit + 1])) - len(list_intersect(w.spoken[f.i + 1], w.known[f.unit])) ELSE -1 END AS lead) l,
+ LATERAL (SELECT l.lead > 0 OR l.lead = 0 AND (f.had >= w.share[f.unit] OR w.m - f.i < w.n - f.unit + 1) AS moves) x),
+p AS (SELECT t.id, u.k, coalesce(string_agg(t.told[f.i], ' ' ORDER BY f.i), '') AS part, any_value(t.units[u.k]) AS unit FROM t, LATERAL (SELECT unnest(range(1, len(t.units) + 1)) AS k) u LEFT JOIN f ON f.id = t.id AND f.unit = u.k AND f.i > 0 GROUP BY t.id, u.k)
+SELECT id, substring(sha256(string_agg(part, '|' ORDER BY k)), 1, 16) AS parts, count(*) FILTER (part <> '' AND trim(part) <> trim(unit)) AS written, count(*) FILTER (NOT (part <> '' AND trim(part) <> trim(unit))) AS unwritten FROM p GROUP BY id""")
 def distributed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers for whole conversations dealt back to their turns."""
+    """Answers for whole conversations dealt back to their turns: the parts' fingerprint, and how many
+    turns are written and unwritten."""
     c = table(spark, sf_dir, "conversations").where("text is not null")
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"])
     rows = c.groupBy(F.col("conv_id").alias("id")).agg(turns.alias("units")).withColumn("answer", F.array_join("units", " "))
-    return write_back.distributed_sentences(rows).join(rows, "id").select("id", "parts", write_back.coverage().alias("coverage"))
+    out = write_back.distributed_sentences(rows).join(rows, "id").select("id", sha16(F.array_join("parts", "|")).alias("parts"), write_back.coverage().alias("c"))
+    return out.select("id", "parts", "c.written", "c.unwritten")
 
 
 @query()
