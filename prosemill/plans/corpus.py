@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.functions.text import collapsed, ngrams, overlap_norm, sha16
+from prosemill.functions.text import CONTENT_STOP_WORDS, collapsed, ngrams, overlap_norm, sha16
 from prosemill.operators import corpus as op
 from prosemill.operators.audit import hash_sample
 from prosemill.plans import sql as q
@@ -126,15 +128,20 @@ def well_formed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_pairs(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_if(op.well_formed(F.col("target"))).alias("well_formed"))
 
 
-@query()
+_ORDERS = ", ".join(f"({n}, {i}, {rank})" for n in (40, 200) for rank, i in enumerate(random.Random(42).sample(range(n), n)))
+_FIT = rf"""regexp_matches({q.strip('r')}, '^\p{{Lu}}') AND regexp_matches({q.strip('r')}, '[.!?]$') AND NOT regexp_matches({q.strip('r')}, '[,;:][\t-\r ]*[.!?]$|\.\.|,,|[\t-\r ],')
+ AND len(list_filter(regexp_extract_all(r, '[A-Za-z][A-Za-z''-]*'), lambda w: lower(w) NOT IN ({', '.join(f"'{w}'" for w in CONTENT_STOP_WORDS)}))) > 0"""
+
+
+@query(rf"""WITH o(total, idx, rank) AS (VALUES {_ORDERS}), b AS (SELECT item_id AS idx, text AS source, [regexp_extract(text, '(?s)^.*?[.!?]'), text] AS refs FROM benchmark WHERE len({q.words('text')}) >= 20),
+r AS (SELECT idx, source, unnest(refs) AS r, unnest([1, 2]) AS k FROM b), f AS (SELECT idx, any_value(source) AS source, first({q.strip('r')} ORDER BY k) AS reference FROM r WHERE {_FIT} GROUP BY idx)
+SELECT idx, rank, source, reference FROM f JOIN o USING (idx) WHERE o.total = (SELECT count(*) FROM benchmark) ORDER BY rank LIMIT 3""")
 def few_shot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Examples in the order of a seeded permutation of the benchmark (a bounded table), with the
-    item itself and its first sentence as references."""
+    item's first sentence and the item itself as references."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("source"))
     pairs = items.withColumn("references", F.array(F.regexp_extract("source", r"(?s)^.*?[.!?]", 0), F.col("source")))
     ids = [r.idx for r in items.select("idx").orderBy("idx").collect()]
-    import random
-
     order = random.Random(42).sample(ids, len(ids))
     return op.select_examples(pairs, spark.createDataFrame(list(zip(order, range(len(order)), strict=True)), "idx long, rank int"))
 

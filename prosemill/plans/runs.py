@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prosemill.functions.log_sentences import ABBREVIATIONS, log_sentences
 from prosemill.functions.readability import guard_grade
 from prosemill.functions.text import review_sentences
 from prosemill.operators import audit, guards, runs
@@ -230,9 +231,22 @@ def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_json(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
 
 
-@query()
+_LISTED = ", ".join(f"'{w}'" for w in ABBREVIATIONS)
+#: Whether piece p[i] of a text ends a sentence, by its last word and the piece after it.
+_ENDS = rf"""i = len(p) OR regexp_matches(mark, '[!?]') OR token = '' OR CASE WHEN regexp_full_match(token, '(?:[A-Za-z]\.)+[A-Za-z]') THEN final
+ WHEN regexp_full_match(token, '[A-Za-z]|[0-9]+') THEN false WHEN bare NOT IN ({_LISTED}) THEN true ELSE final END"""
+
+
+@query(rf"""WITH t AS (SELECT row_number() OVER () AS rn, role, coalesce(text, '') AS text, list_filter(string_split(regexp_replace({q.strip('text')}, '([.!?]+["''’”)\]]?)\s+(["''‘“(\[]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '') AS p FROM conversations),
+a AS (SELECT rn, p, unnest(range(1, len(p) + 1)) AS i FROM t),
+b AS (SELECT *, regexp_extract(p[i], '[.!?]+["''’”)\]]?$') AS mark, regexp_extract(regexp_replace(p[i], '[.!?]+["''’”)\]]?$', ''), '[A-Za-z0-9''’.]+$') AS token FROM a),
+e AS (SELECT *, lower(regexp_replace(token, '\.+$', '')) AS bare FROM b), g AS (SELECT *, bare IN ('a.m', 'p.m', 'etc') AND regexp_matches(coalesce(p[i + 1], ''), '^[A-Z]') AS final FROM e),
+n AS (SELECT rn, count(*) FILTER ({_ENDS}) AS s FROM g GROUP BY rn),
+c AS (SELECT role, len({_TOKENS}) AS w, {_SY} AS sy, len(regexp_extract_all(text, '[A-Za-z]')) AS l, coalesce(s, 0) AS s FROM t LEFT JOIN n USING (rn)),
+t2 AS (SELECT role, sum(w) AS words, sum(CASE WHEN w = 0 THEN 0 ELSE greatest(s, 1) END) AS sentences, sum(coalesce(list_sum(sy), 0)) AS syllables, sum(len(list_filter(sy, lambda x: x >= 3))) AS polysyllables, sum(l) AS letters FROM c GROUP BY role)
+SELECT role, words, sentences, syllables, polysyllables, letters, round(0.39 * words / sentences + 11.8 * syllables / words - 15.59, 6) AS fkgl,
+ round(206.835 - 1.015 * words / sentences - 84.6 * syllables / words, 6) AS reading_ease, round(0.4 * (words / sentences + 100 * polysyllables / words), 6) AS fog, round(1.043 * sqrt(polysyllables * 30 / sentences) + 3.1291, 6) AS smog,
+ round(0.0588 * letters / words * 100 - 0.296 * sentences / words * 100 - 15.8, 6) AS coleman_liau, round(4.71 * letters / words + 0.5 * words / sentences - 21.43, 6) AS ari FROM t2""")
 def log_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readability of the run log, with the log's own sentence rules."""
-    from prosemill.functions.log_sentences import log_sentences
-
     return runs.readability(table(spark, sf_dir, "conversations"), "text", log_sentences, "role")
