@@ -122,10 +122,26 @@ def distributed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "parts", "c.written", "c.unwritten")
 
 
-@query()
+_NODE = "d.texts[f.i + 1]"
+_FLAT = r"trim(regexp_replace(" + _NODE + r", '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id AS id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)) AS texts, {q.collapsed('text')} AS output FROM documents),
+f AS (SELECT id, 0 AS i, 1::BIGINT AS onward, 0::BIGINT AS spot, '' AS found FROM d UNION ALL
+ SELECT f.id, f.i + 1, CASE WHEN h.place > 0 THEN f.onward + h.place - 1 + length(h.t) ELSE f.onward END, CASE WHEN h.place > 0 THEN f.onward + h.place - 1 ELSE 0 END, CASE WHEN h.place > 0 THEN h.t ELSE '' END
+ FROM f JOIN d ON d.id = f.id AND f.i < len(d.texts), LATERAL (SELECT CASE WHEN length({_NODE}) >= 3 THEN instr(substr(d.output, f.onward), {_NODE}) ELSE 0 END AS p, CASE WHEN length({_NODE}) >= 3 THEN instr(substr(d.output, f.onward), {_FLAT}) ELSE 0 END AS pf) x,
+ LATERAL (SELECT CASE WHEN x.p > 0 THEN x.p ELSE x.pf END AS place, CASE WHEN x.p > 0 THEN {_NODE} ELSE {_FLAT} END AS t) h),
+a AS (SELECT id, i, spot, found, lag(i, 1, 0) OVER w AS previous, coalesce(lag(spot + length(found)) OVER w, 1) AS since FROM f WHERE spot > 0 WINDOW w AS (PARTITION BY id ORDER BY i)),
+l AS (SELECT d.id, len(d.texts) AS n, d.output, coalesce(max(a.i), 0) AS latest, coalesce(max(a.spot + length(a.found)), 1) AS since FROM d LEFT JOIN a USING (id) GROUP BY ALL),
+c AS (SELECT a.id, CASE WHEN a.previous + 1 < a.i OR a.i = 1 THEN a.previous + 1 ELSE a.i - 1 END AS i, 2 * a.i AS seq, substr(d.output, a.since, a.spot - a.since) AS t FROM a JOIN d USING (id)
+ UNION ALL SELECT id, i, 2 * i + 1, found FROM a UNION ALL SELECT id, CASE WHEN latest < n THEN latest + 1 ELSE n END, 2 * n + 2, substr(output, since) FROM l),
+p AS (SELECT l.id, k.k, coalesce(string_agg(c.t, '' ORDER BY c.seq), '') AS part FROM l, LATERAL (SELECT unnest(range(1, l.n + 1)) AS k) k LEFT JOIN c ON c.id = l.id AND c.i = k.k GROUP BY l.id, k.k)
+SELECT id, count(*) AS nodes, substring(sha256(string_agg(part, '|' ORDER BY k)), 1, 16) AS parts FROM p GROUP BY id""")
 def aligned_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a document as nodes, its text as the output."""
+    """Lines of a document as nodes, its text as the output: the nodes' number and the fingerprint of
+    what each gets."""
     d = table(spark, sf_dir, "documents")
     texts = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim)
     off = F.transform(texts, lambda _: F.lit(False))
-    return write_back.aligned_nodes(d.select(F.col("doc_id").alias("id"), texts.alias("texts"), collapsed(F.col("text")).alias("output"), off.alias("nested"), off.alias("pinned")))
+    out = write_back.aligned_nodes(d.select(F.col("doc_id").alias("id"), texts.alias("texts"), collapsed(F.col("text")).alias("output"), off.alias("nested"), off.alias("pinned")))
+    return out.select("id", F.size("parts").cast("long").alias("nodes"), sha16(F.array_join("parts", "|")).alias("parts"))
