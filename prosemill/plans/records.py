@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions.dates import compact_stamp, epoch_ms, iso_utc
-from prosemill.functions.normalise import for_model, joined_segments
+from prosemill.functions.normalise import for_model, from_model, joined_segments
 from prosemill.functions.text import review_sentences, sha16
 from prosemill.operators import audit, metrics, reports, runs
 from prosemill.operators import corpus as op
@@ -162,6 +162,22 @@ def model_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", sha16(for_model(text)).alias("model_form"), (~for_model(text).eqNullSafe(text)).alias("changed"))
 
 
+@query(rf"""WITH m AS (SELECT doc_id, text, {_model_form('text')} AS x FROM documents WHERE lang <> 'de' AND text IS NOT NULL AND {_PLAIN}),
+t AS (SELECT doc_id, text, {q.collapsed(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\(\s*\)', ' ', 'g'), '\s+([,.;:!?)\]])', '\1', 'g'), '([(\[])\s+', '\1', 'g'), '([,;])(\p{L})', '\1 \2', 'g')")} AS x FROM m),
+k AS (SELECT doc_id, regexp_extract_all(text, '\p{{L}}+|[.?!]') AS k FROM t), j AS (SELECT doc_id, unnest(k) AS w, unnest(range(1, len(k) + 1)) AS i, k FROM k),
+names AS (SELECT doc_id, lower(w) AS lw, arg_min(w, i) AS name FROM j WHERE i > 1 AND k[i - 1] NOT IN ('.', '?', '!') AND regexp_matches(w, '^\p{{Lu}}') GROUP BY ALL),
+p AS (SELECT doc_id, regexp_extract_all(x, '\p{{L}}+|[^\p{{L}}]+') AS p FROM t), e AS (SELECT doc_id, unnest(p) AS w, unnest(range(1, len(p) + 1)) AS i, p FROM p),
+c AS (SELECT e.doc_id, i, coalesce(name, w) AS w, regexp_matches(w, '^\p{{L}}') AND (i = 1 OR (i = 2 AND NOT regexp_matches(p[1], '^\p{{L}}')) OR regexp_matches(coalesce(p[i - 1], ''), '[.?!]')) AS opens FROM e LEFT JOIN names n ON n.doc_id = e.doc_id AND n.lw = lower(e.w)),
+o AS (SELECT doc_id, string_agg(CASE WHEN opens THEN upper(w[1:1]) || w[2:] ELSE w END, '' ORDER BY i) AS x FROM c GROUP BY doc_id)
+SELECT doc_id, substring(sha256(coalesce(x, '')), 1, 16) AS prose_form FROM t LEFT JOIN o USING (doc_id)""".replace("LEFT JOIN o USING", "LEFT JOIN (SELECT doc_id AS doc_id, x AS y FROM o) USING").replace("coalesce(x, '')), 1, 16) AS prose_form", "coalesce(y, '')), 1, 16) AS prose_form"))
+def prose_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts taken to the models' form and back, without quotation marks, apostrophes and the sharp s
+    (whose capital differs between engines)."""
+    text = F.col("text")
+    d = table(spark, sf_dir, "documents").where((F.col("lang") != "de") & text.isNotNull() & ~text.rlike("[\"'“”]"))
+    return d.select("doc_id", sha16(from_model(for_model(text), text)).alias("prose_form"))
+
+
 @query(f"""WITH {_PAIRS}, r AS (SELECT source, target FROM p WHERE NOT regexp_matches(source || target, '[\"''“”]'))
 SELECT 'source' AS system, count(*) FILTER ({_model_form('source')} <> source) AS changed, count(*) AS n FROM r UNION ALL SELECT 'target', count(*) FILTER ({_model_form('target')} <> target), count(*) FROM r""")
 def normalised_before_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
