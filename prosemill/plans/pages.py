@@ -77,10 +77,16 @@ def snapshot_tag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.tag_changes(n.where("side = 0").drop("side"), n.where("side = 1").drop("side"))
 
 
-@query()
+@query(rf"""WITH c AS (SELECT row_number() OVER () AS rn, conv_id * 1000 + turn AS request_id, role, {q.strip("CASE WHEN turn % 3 = 1 THEN text || ' Of 42 things.' ELSE text END")} AS t FROM conversations),
+s AS (SELECT rn, request_id, role, list_filter(CASE WHEN regexp_matches(t, '[\n\r\t]') THEN string_split(regexp_replace(t, '{q.WS}+', ' ', 'g'), ' ') ELSE string_split(regexp_replace(t, '([.!?]){q.WS}+', '\1' || chr(1), 'g'), chr(1)) END, lambda x: x <> '') AS s FROM c),
+k AS (SELECT DISTINCT unnest(s) AS x FROM s WHERE role = 'assistant'), e AS (SELECT rn, unnest(s) AS x FROM s),
+g AS (SELECT rn, bool_and(k.x IS NOT NULL) AS cached, bool_or(regexp_matches(e.x, '[0-9]')) AS numbers FROM e LEFT JOIN k ON k.x = e.x GROUP BY rn)
+SELECT request_id, array_to_string(s, ' ') AS simplified, cached, CASE WHEN numbers THEN 'no_meaningful_change' END AS reason, len(s) AS sentences FROM s JOIN g USING (rn)""")
 def simplified_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole request path with the guard stub; what assistants said is cached."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "role", "text")
+    """The whole request path with a stub that drops numbers, which the guard rejects; every third
+    turn gets some, and what assistants said is cached."""
+    text = F.when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" Of 42 things."))).otherwise(F.col("text"))
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "role", text.alias("text"))
     stub = simplifier.Stub("guard")
     keys = c.where("role = 'assistant'").select(F.lit(stub.model_id).alias("model"), F.lit("general").alias("audience"), F.explode(simplifier.serving_sentences(F.col("text"))).alias("text"))
     return simplifier.simplify(c, stub, stub.answers(keys.distinct())).select("request_id", "simplified", "cached", "reason", "sentences")

@@ -33,7 +33,14 @@ def late_rows_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.coalesce("in_time", F.lit(0)).alias("in_time"), F.coalesce("late", F.lit(0)).alias("late"))
 
 
-@query()
+_FREE = f"(f.owner IS NULL OR a.since - f.seen > {op.STALE_SECONDS})"
+
+
+@query(f"""WITH RECURSIVE a AS MATERIALIZED (SELECT user_id % 10 AS lock, user_id::VARCHAR AS who, epoch_us(ts) / 1e6 AS since, event_type = 'error' AS frees, row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch_us(ts), user_id::VARCHAR) AS k FROM events),
+f AS (SELECT DISTINCT lock, 0::BIGINT AS k, NULL::VARCHAR AS owner, 0::DOUBLE AS seen, 0::BIGINT AS taken FROM a UNION ALL
+ SELECT f.lock, a.k, CASE WHEN a.frees THEN nullif(f.owner, a.who) WHEN {_FREE} THEN a.who ELSE f.owner END, CASE WHEN NOT a.frees AND ({_FREE} OR f.owner = a.who) THEN a.since ELSE f.seen END,
+  f.taken + (NOT a.frees AND {_FREE} AND f.owner IS DISTINCT FROM a.who)::BIGINT FROM f JOIN a ON a.lock = f.lock AND a.k = f.k + 1)
+SELECT lock, arg_max(struct_pack(x := owner), k).x AS owner, arg_max(seen, k) AS seen, max(taken) AS taken FROM f GROUP BY lock""")
 def streamed_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = op.source(spark, sf_dir, "events")
     actions = e.select(
