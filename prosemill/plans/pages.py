@@ -92,6 +92,28 @@ def simplified_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simplifier.simplify(c, stub, stub.answers(keys.distinct())).select("request_id", "simplified", "cached", "reason", "sentences")
 
 
+def _asked(text: str, audience: str, seconds: float) -> str:
+    """A service that fails by a text's length."""
+    if len(text) % 7 == 0:
+        raise TimeoutError
+    if len(text) % 11 == 0:
+        raise simplifier.Busy(503, 0.0)
+    if len(text) % 13 == 0:
+        raise ValueError("no such model")
+    return text
+
+
+@query(rf"""WITH c AS (SELECT row_number() OVER () AS rn, {q.strip('text')} AS t FROM conversations),
+s AS (SELECT rn, unnest(list_filter(CASE WHEN regexp_matches(t, '[\n\r\t]') THEN string_split(regexp_replace(t, '{q.WS}+', ' ', 'g'), ' ') ELSE string_split(regexp_replace(t, '([.!?]){q.WS}+', '\1' || chr(1), 'g'), chr(1)) END, lambda x: x <> '')) AS x FROM c)
+SELECT CASE WHEN length(x) % 7 = 0 THEN 'timeout' WHEN length(x) % 11 = 0 OR length(x) % 13 = 0 THEN 'error' ELSE 'answered' END AS result, count(*) AS n FROM s GROUP BY 1""")
+def endpoint_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by what a service that is often busy, slow or broken made of them."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text")
+    out = simplifier.simplify(c, simplifier.Endpoint("service", _asked, attempts=2), None)
+    answered = F.array_repeat(F.lit("answered"), F.col("sentences") - F.size("reasons"))
+    return out.select(F.explode(F.concat("reasons", answered)).alias("result")).groupBy("result").agg(F.count("*").alias("n"))
+
+
 @query()
 def normalised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
