@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,6 +195,24 @@ def best_marked(values: DataFrame, by: list[str], value: str, higher: Column) ->
     return values.withColumn("best", F.col(value) == F.when(higher, F.max(value).over(w)).otherwise(F.min(value).over(w)))
 
 
+class Score(NamedTuple):
+    """A column of the comparison table: a value of each row, how rows make one, which end is best."""
+
+    row: Column
+    total: Callable[[Column], Column]
+    higher: bool = True
+
+
+def comparison_report(entries: DataFrame, cut: str, arm: str, scores: Mapping[str, Score]) -> DataFrame:
+    """The comparison table in long form: cut, arm, score, value and whether it is the best of its cut,
+    all ties marked. All scores come from one pass over the entries."""
+    rows = entries.select(cut, arm, *[s.row.alias(name) for name, s in scores.items()])
+    wide = rows.groupBy(cut, arm).agg(*[F.round(s.total(F.col(name)), 6).cast("double").alias(name) for name, s in scores.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("score"), F.col(name).alias("value"), F.lit(s.higher).alias("higher")) for name, s in scores.items()]))
+    long = wide.select(cut, arm, each.alias("x")).select(cut, arm, "x.*")
+    return best_marked(long, [cut, "score"], "value", F.col("higher")).drop("higher")
+
+
 def percent_shortened(before: Column, after: Column) -> Column:
     b, a = word_count(before), word_count(after)
     return F.when(b > 0, F.floor((1 - a / b) * 100 + 0.5))

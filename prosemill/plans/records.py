@@ -268,3 +268,18 @@ def aligned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     a=_COUNT.format("source"), b=_COUNT.format("target")))
 def split_and_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.rewritten_sentences(turn_pairs(spark, sf_dir).withColumn("arm", F.col("conv_id") % 4), "source", "target", review_sentences, "arm")
+
+
+@query(f"""WITH {_PAIRS}, w AS (SELECT conv_id % 2 AS cut, conv_id % 5 AS arm, len({q.words('source')}) AS a, len({q.words('target')}) AS b, {q.collapsed('source')} <> {q.collapsed('target')} AS changed FROM p),
+g AS (SELECT cut, arm, round(avg(b), 6) AS mean_words, round(avg(changed::INT), 6) AS changed_share, round(max(b / greatest(a, 1)), 6) AS longest FROM w GROUP BY cut, arm),
+l AS (SELECT cut, arm, 'mean_words' AS score, mean_words AS value, false AS higher FROM g UNION ALL SELECT cut, arm, 'changed_share', changed_share, true FROM g UNION ALL SELECT cut, arm, 'longest', longest, false FROM g)
+SELECT cut, arm, score, value, value = CASE WHEN higher THEN max(value) OVER w ELSE min(value) OVER w END AS best FROM l WINDOW w AS (PARTITION BY cut, score)""")
+def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_pairs(spark, sf_dir).withColumn("cut", F.col("conv_id") % 2).withColumn("arm", F.col("conv_id") % 5)
+    a, b = runs.word_count(F.col("source")), runs.word_count(F.col("target"))
+    scores = {
+        "mean_words": runs.Score(b, F.avg, False),
+        "changed_share": runs.Score(runs.is_changed(F.col("source"), F.col("target")).cast("int"), F.avg),
+        "longest": runs.Score(b / F.greatest(a, F.lit(1)), F.max, False),
+    }
+    return runs.comparison_report(rows, "cut", "arm", scores)
