@@ -51,8 +51,8 @@ SEEN, KNOWN = 3, -1.0
 #: Evidence of a pair: the largest weight and means of so many largest, then three sums and the mean.
 LARGEST = (1, 2, 4, 8, 16)
 WIDTH = len(LARGEST) + 4
-#: Words that a worker remembers.
-REMEMBERED = 1_000_000
+#: Words that a worker remembers, of the model that it used last.
+REMEMBERED = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: The shortest sample that COVER takes.
 _SAMPLE = 8
@@ -133,8 +133,18 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"} | {"_known": {}, "_table": [], "_compressors": None}
 
+    def _forget(self) -> None:
+        self._known.clear()
+        self._table.clear()
+        self._compressors = None
+
     def _number(self, words: list[str]) -> list[int]:
         """Each word's row in the table of weights."""
+        global _used
+        if _used is not self:  # a worker outlives a stage, and its broadcasts with it
+            if _used is not None:
+                _used._forget()
+            _used = self
         known = self._known
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
@@ -168,6 +178,10 @@ class Model:
         return out
 
 
+#: The model that this process used last; only that one remembers words.
+_used: Model | None = None
+
+
 def _odds(held: list[list[set[Cell]]], y: np.ndarray) -> list[dict[Cell, float]]:
     """For each pair of dictionaries, the weights of the cells that documents hold."""
     out = []
