@@ -44,3 +44,31 @@ def test_edges(spark):
     assert [g[:2] for g in got] == [(0, 64), (0, 64), (64, 64), (65, 128), (300_000, 300_032)]
     assert got[0] == got[1]
     assert media.media_columns(df.where("false")).count() == 0
+
+
+def test_fingerprint_as_its_definition():
+    """Brute force: a Fourier sum for every bin, peaks and pairs one by one."""
+    rng = np.random.default_rng(7)
+    n = np.arange(3000)
+    tones = sum(40 * np.sin(2 * np.pi * f * n / media.RATE) for f in (300, 1200, 2500))
+    x = np.clip(128 + tones + rng.normal(0, 8, len(n)), 0, 255).astype(np.uint8)
+    k = np.arange(media.FRAME)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * k / (media.FRAME - 1))
+    power = []
+    for start in range(0, len(x) - media.FRAME + 1, media.HOP):
+        frame = (x[start : start + media.FRAME].astype(float) - 128) * window
+        power.append([abs((frame * np.exp(-2j * np.pi * b * k / media.FRAME)).sum()) for b in range(media.FRAME // 2 + 1)])
+    peaks = []
+    for t, own in enumerate(power):
+        for a, b in media.BANDS:
+            f = max(range(a, b), key=lambda i: own[i])
+            around = [power[i][f] for i in (t - 1, t + 1) if 0 <= i < len(power)]
+            if own[f] > 1e-3 and all(own[f] >= v for v in around):
+                peaks.append((t, f))
+    assert list(zip(*(v.tolist() for v in media.spectral_peaks(x.tobytes())))) == sorted(peaks)
+    pairs = []
+    for i, (t, f) in enumerate(sorted(peaks)):
+        for u, g in sorted(peaks)[i + 1 : i + 1 + media.FAN]:
+            if 0 < u - t <= media.FARTHEST:
+                pairs.append(t << 24 | f << 16 | g << 8 | u - t)
+    assert media.fingerprint(x.tobytes()).tolist() == sorted(pairs) and len(pairs) > 20
