@@ -25,12 +25,10 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT max(ts) AS upto FROM events), e AS (SELECT event_type, ts < m.upto - INTERVAL 10 DAY AS late FROM events, m) SELECT event_type, count(*) FILTER (NOT late) AS in_time, count(*) FILTER (late) AS late FROM e GROUP BY event_type""")
 def late_rows_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_type", "ts")
-    upto = e.agg(F.max("ts").alias("upto"))
-    good, late = op.split_late(e.join(F.broadcast(upto)), "ts", "upto", "10 days")  # one row
-    n = lambda d, c: d.groupBy("event_type").agg(F.count("*").alias(c))
-    out = n(good, "in_time").join(n(late, "late"), "event_type", "full_outer")
-    return out.select("event_type", F.coalesce("in_time", F.lit(0)).alias("in_time"), F.coalesce("late", F.lit(0)).alias("late"))
+    """A stream's rows held against a watermark that is known beforehand."""
+    upto = table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("upto"))
+    counts = op.counted_late(op.source(spark, sf_dir, "events").select("event_type", "ts"), "event_type", "ts", upto, "10 days")
+    return op.latest(op.drained(counts, "update"), "event_type")
 
 
 _FREE = f"(f.owner IS NULL OR a.since - f.seen > {op.STALE_SECONDS})"

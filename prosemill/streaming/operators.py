@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     may go without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
@@ -79,6 +79,12 @@ def split_late(batch: DataFrame, ts: str, upto: str, allowed: str) -> tuple[Data
     return batch.where(~F.coalesce(late, F.lit(False))), batch.where(late)
 
 
+def counted_late(events: DataFrame, by: str, ts: str, upto: DataFrame, allowed: str) -> DataFrame:
+    """Of a stream, rows in time and late ones by key; ``upto`` is one row with the watermark."""
+    late = F.coalesce(F.col(ts) < F.col("upto") - F.expr(f"INTERVAL {allowed}"), F.lit(False))
+    return events.join(F.broadcast(upto)).groupBy(by).agg(F.count_if(~late).alias("in_time"), F.count_if(late).alias("late"))  # one row
+
+
 def _lock(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Owner, time of the last heartbeat and how often the lock was taken over.
 
