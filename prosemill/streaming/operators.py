@@ -72,13 +72,6 @@ def tally(events: DataFrame, key: str, delta: str) -> DataFrame:
     return events.groupBy(key).agg(F.sum(delta).alias("tally"), F.count("*").alias("rows"))
 
 
-def split_late(batch: DataFrame, ts: str, upto: str, allowed: str) -> tuple[DataFrame, DataFrame]:
-    """Rows in time and late ones, by an explicit watermark column: late rows are counted, never
-    silently dropped."""
-    late = F.col(ts) < F.col(upto) - F.expr(f"INTERVAL {allowed}")
-    return batch.where(~F.coalesce(late, F.lit(False))), batch.where(late)
-
-
 def counted_late(events: DataFrame, by: str, ts: str, upto: DataFrame, allowed: str) -> DataFrame:
     """Of a stream, rows in time and late ones by key; ``upto`` is one row with the watermark."""
     late = F.coalesce(F.col(ts) < F.col("upto") - F.expr(f"INTERVAL {allowed}"), F.lit(False))
