@@ -19,7 +19,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from prosemill.llm.common import parts_of, pick, texts_in
+from prosemill.llm.common import hold, parts_of, pick, texts_in
 
 #: Words that a worker remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 600_000, 64
@@ -96,7 +96,11 @@ class Memo:
     def __init__(self, work: Callable[[list[str], str], list]):
         self.work, self.known = work, {}
 
+    def forget(self) -> None:
+        self.known.clear()
+
     def of(self, texts: list[str]) -> list[list]:
+        hold(self)
         cuts = [t.split(" ") for t in texts]
         new = set().union(*cuts).difference(self.known)
         if odd := {w for w in new if not w or w[0].isspace() or w[-1].isspace()}:

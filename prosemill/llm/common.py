@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,6 +78,22 @@ def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return both.select(F.col("own").alias("doc_id"), *[c for c in docs.columns if c != "doc_id"]), names
 
 
+_holder = None
+
+
+def hold(owner) -> None:
+    """``owner`` may remember things in this process from now on; what another one remembered goes by its
+    forget(). A Python worker outlives a stage, and memory that one operator fills is the next one's."""
+    global _holder
+    if _holder is owner:
+        return
+    if _holder is not None:
+        _holder.forget()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+    _holder = owner
+
+
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the named columns, cast; every other column, whatever its name, is left behind.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import GOLDEN, U64, Words, components, discard, mix, parts_of, pick, saved, told_apart
+from prosemill.llm.common import GOLDEN, U64, Words, components, discard, hold, mix, parts_of, pick, saved, told_apart
 
 #: Bands times rows is the length of a signature. At a similarity of 0.8 all 24 bands miss with a
 #: probability of (1 - 0.8 ** 4) ** 24 = 3e-6.
@@ -85,6 +85,7 @@ def _signer(n: int):
     salt = np.array([(b + 1) * GOLDEN & (2**64 - 1) for b in range(BANDS)], U64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(None)
         for batch in parts_of(batches, "text", 2 << 20):
             values, first = distinct_sets(Words(batch.column(1)), n)
             size = np.diff(first)

@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import parts_of, pick, texts_in
+from prosemill.llm.common import hold, parts_of, pick, texts_in
 
 #: The model is fitted on so many labelled documents of each class at most, of at most so many
 #: characters each, chosen by a hash of doc_id. Scores always cover whole texts.
@@ -51,13 +50,17 @@ SEEN, KNOWN = 3, -1.0
 #: Evidence of a pair: the largest weight and means of so many largest, then three sums and the mean.
 LARGEST = (1, 2, 4, 8, 16)
 WIDTH = len(LARGEST) + 4
-#: Words that a worker remembers, of the model that it used last.
+#: Words that a worker remembers.
 REMEMBERED = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: The shortest sample that COVER takes.
 _SAMPLE = 8
 
-Cell = tuple[int, int, int]
+#: A cell is one number: 10 bits each for a window's bytes and for those it takes after the ordinary
+#: and the toxic dictionary; longer ones are cut to what that holds.
+BITS = 10
+_MOST = (1 << BITS) - 1
+Weights = tuple[np.ndarray, np.ndarray]  # cells, ascending, and their weights
 Dictionaries = tuple[tuple[bytes, ...], tuple[bytes, ...]]
 
 
@@ -95,18 +98,29 @@ class Compressors:
         primed.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def cells(self, words: list[str]) -> list[list[Cell]]:
-        """The words' cells, for each pair of dictionaries."""
+    def cells(self, words: list[str]) -> np.ndarray:
+        """The words' cells (words x pairs of dictionaries)."""
         own = [f" {w} ".encode() for w in words]
         data = [AROUND + x + AROUND for x in own]
-        a, b = ([[len(x) for x in map(c.compress, data)] for c in side] for side in self.all)
-        return [list(zip(map(len, own), a[x[3]], taken, strict=True)) for taken, x in zip(b, TOXIC, strict=True)]
+        cut = lambda sizes: np.minimum(np.fromiter(sizes, np.int32, len(words)), _MOST)
+        n = cut(map(len, own)) << 2 * BITS
+        a, b = ([cut(len(x) for x in map(c.compress, data)) for c in side] for side in self.all)
+        return np.stack([n | a[x[3]] << BITS | taken for taken, x in zip(b, TOXIC, strict=True)], axis=1)
 
 
-def column(weights: dict[Cell, float], cells: list[Cell]) -> list[float]:
+def column(weights: Weights, cells: np.ndarray) -> np.ndarray:
     """The weights of cells. One that no fitted document holds weighs nothing, or KNOWN where the
     ordinary dictionary is the better one: texts that it was trained on have cells that others lack."""
-    return [weights[c] if c in weights else KNOWN if c[1] < c[2] else 0.0 for c in cells]
+    known, values = weights
+    rest = np.where((cells >> BITS & _MOST) < (cells & _MOST), KNOWN, 0.0)
+    if not len(known):
+        return rest
+    at = np.minimum(np.searchsorted(known, cells), len(known) - 1)
+    return np.where(known[at] == cells, values[at], rest)
+
+
+def _weighed(weights: list[Weights], cells: np.ndarray) -> np.ndarray:
+    return np.stack([column(w, cells[:, j]) for j, w in enumerate(weights)], axis=1)
 
 
 def together(weights: np.ndarray) -> np.ndarray:
@@ -123,7 +137,7 @@ def together(weights: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     of: Dictionaries = ((), ())
-    weights: list[dict[Cell, float]] = field(default_factory=list)
+    weights: list[Weights] = field(default_factory=list)
     slopes: list[float] = field(default_factory=list)
     bias: float = -6.0
     _known: dict = field(default_factory=dict, repr=False, compare=False)
@@ -133,18 +147,14 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"} | {"_known": {}, "_table": [], "_compressors": None}
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self._known.clear()
         self._table.clear()
         self._compressors = None
 
     def _number(self, words: list[str]) -> list[int]:
         """Each word's row in the table of weights."""
-        global _used
-        if _used is not self:  # a worker outlives a stage, and its broadcasts with it
-            if _used is not None:
-                _used._forget()
-            _used = self
+        hold(self)
         known = self._known
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
@@ -155,8 +165,7 @@ class Model:
             if not self._compressors:
                 self._compressors = Compressors(self.of)
             at = sum(map(len, self._table))
-            columns = [column(w, cells) for w, cells in zip(self.weights, self._compressors.cells(new), strict=True)]
-            self._table.append(np.array(columns, np.float32).T)
+            self._table.append(_weighed(self.weights, self._compressors.cells(new)).astype(np.float32))
             known.update(zip(new, range(at, at + len(new)), strict=True))
         return [known[w] for w in words]
 
@@ -178,23 +187,18 @@ class Model:
         return out
 
 
-#: The model that this process used last; only that one remembers words.
-_used: Model | None = None
-
-
-def _odds(held: list[list[set[Cell]]], y: np.ndarray) -> list[dict[Cell, float]]:
+def _odds(held: list[np.ndarray], y: np.ndarray) -> list[Weights]:
     """For each pair of dictionaries, the weights of the cells that documents hold."""
     out = []
     n1, n0 = y.sum(), (1 - y).sum()
     for j in range(len(TOXIC)):
-        count = Counter(), Counter()
-        for own, label in zip(held, y, strict=True):
-            count[label].update(own[j])
-        of = {
-            c: math.log((count[1][c] + 0.3) / (n1 + 0.6)) - math.log((count[0][c] + 0.3) / (n0 + 0.6))
-            for c in sorted(count[0].keys() | count[1].keys()) if count[0][c] + count[1][c] >= SEEN
-        }
-        out.append(of)
+        own = [np.unique(x[:, j]) for x in held]
+        cells, number = np.unique(np.concatenate(own), return_inverse=True)
+        toxic = np.repeat(y, [len(x) for x in own])
+        ones, all_ = (np.bincount(number, w, len(cells)) for w in (toxic, None))
+        seen = all_ >= SEEN
+        odds = np.log((ones + 0.3) / (n1 + 0.6)) - np.log((all_ - ones + 0.3) / (n0 + 0.6))
+        out.append((cells[seen], odds[seen]))
     return out
 
 
@@ -218,27 +222,23 @@ def fit(labelled: list[tuple[str, int]]) -> Model:
     classes = [[t for t, y in labelled if y == k] for k in (0, 1)]
     if min(map(len, classes)) < FOLDS:
         return Model()
-    cells: list[list[list[Cell]]] = []  # by document and pair, one for each window
+    held: list[np.ndarray] = []  # by document: the cells of its windows
     y, fold = [], []
     for f in reversed(range(FOLDS)):
         of = dictionaries(*[[t for i, t in enumerate(c) if i % FOLDS != f] for c in classes])
         compressors = Compressors(of)
-        known: dict[str, tuple[Cell, ...]] = {}
-        for label, c in enumerate(classes):
-            for t in c[f::FOLDS]:
-                words = windows(t)
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                known.update(zip(new, zip(*compressors.cells(new), strict=True), strict=True))
-                cells.append([[known[w][j] for w in words] for j in range(len(TOXIC))])
-                y.append(label)
-                fold.append(f)
+        texts = [windows(t) for c in classes for t in c[f::FOLDS]]
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for words in texts for w in words))}
+        cells = compressors.cells(list(number))
+        held += [cells[[number[w] for w in words]] for words in texts]
+        y += [label for label, c in enumerate(classes) for _ in c[f::FOLDS]]
+        fold += [f] * len(texts)
     y, fold = np.array(y), np.array(fold)
-    held = [[set(x) for x in own] for own in cells]
     x = np.zeros((len(y), WIDTH * len(TOXIC)))
     for f in range(FOLDS):
         weights = _odds([h for h, g in zip(held, fold, strict=True) if g != f], y[fold != f])
         for i in np.flatnonzero(fold == f):
-            x[i] = together(np.array([column(w, own) for w, own in zip(weights, cells[i], strict=True)]).T)
+            x[i] = together(_weighed(weights, held[i]))
     slopes, bias = _logistic(x, y)
     logit = x @ slopes + bias
     steps = np.unique(logit)
@@ -275,7 +275,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in parts_of(batches, "text", 4 << 20):
+        for batch in parts_of(batches, "text", 1 << 20):
             ids = batch.column(0).to_pylist()
             scores = own.scores(texts_in(batch, "text"))
             yield pa.RecordBatch.from_arrays(

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from prosemill.llm.toxicity import LARGEST, TOXIC, WIDTH, Compressors, Model, dictionaries, fit, held_out, score_toxicity, together, training_rows
+from prosemill.llm.toxicity import BITS, KNOWN, LARGEST, TOXIC, WIDTH, Compressors, Model, column, dictionaries, fit, held_out, score_toxicity, together, training_rows
 
 SYLLABLES = ["th", "on", "er", "an", "re", "ed", "in", "ou", "ha", "st", "en", "ti"]
 BAD = ["wretched", "vermin", "imbecile", "zqualor"]
@@ -65,8 +65,12 @@ def test_small_windows_and_weights():
     assert np.allclose(together(w[:3]).reshape(WIDTH, -1)[3:5, 0], w[:3, 0].mean())
     of = dictionaries(["the plain words of a text " * 3], ["vermin and wretched things " * 3])
     many = Compressors(of).cells(["vermin", "plain"])
-    assert [[c[i] for c in many] for i in (0, 1)] == [[c[0] for c in Compressors(of).cells([x])] for x in ("vermin", "plain")]
-    assert all(b < a for _, a, b in (c[0] for c in many)) and all(a < b for _, a, b in (c[1] for c in many))
+    assert (many == np.concatenate([Compressors(of).cells([w]) for w in ("vermin", "plain")])).all()
+    size, a, b = many >> 2 * BITS, many >> BITS & 1023, many & 1023
+    assert (size == [[8], [7]]).all() and (b[0] < a[0]).all() and (a[1] < b[1]).all()
+    known = np.array([1 << 20 | 5 << 10 | 3, 2 << 20 | 5 << 10 | 3])
+    cells = np.array([2 << 20 | 5 << 10 | 3, 1 << 20 | 4 << 10 | 3, 1 << 20 | 3 << 10 | 4])
+    assert column((known, np.array([0.5, 1.5])), cells).tolist() == [1.5, 0.0, KNOWN]
 
 
 def test_edges(spark):
