@@ -93,8 +93,8 @@ class Memo:
     words without their space; what is remembered is bounded.
     """
 
-    def __init__(self, work: Callable[[list[str], str], list]):
-        self.work, self.known = work, {}
+    def __init__(self, work: Callable[[list[str], str], list], most: int = REMEMBERED):
+        self.work, self.most, self.known = work, most, {}
 
     def forget(self) -> None:
         self.known.clear()
@@ -106,7 +106,7 @@ class Memo:
         if odd := {w for w in new if not w or w[0].isspace() or w[-1].isspace()}:
             cuts = [c if odd.isdisjoint(c) else _BETWEEN.split(t) for c, t in zip(cuts, texts, strict=True)]
             new = set().union(*cuts).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = set().union(*cuts)
         kept = [w for w in new if 0 < len(w) <= LONGEST and not w[0].isspace() and not w[-1].isspace()]

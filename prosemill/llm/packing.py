@@ -28,6 +28,8 @@ from prosemill.llm.byte_bpe import Memo
 from prosemill.llm.common import parts_of, pick, saved, texts_in
 
 END = 2
+#: Words that a worker remembers; a word's ids are short.
+REMEMBERED = 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -61,7 +63,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.memo = Memo(self._words)
+        self.memo = Memo(self._words, REMEMBERED)
         self.plain = False
         self.marks = {}
         try:
@@ -76,7 +78,9 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _piece(self, text: str) -> bytes:
-        found = self.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))
+        """The ids of printable characters and spaces that are one match of the split pattern."""
+        mapped = text.replace(" ", _LETTERS[32]) if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
+        found = self.model.tokenize(mapped)
         return struct.pack(f"<{len(found)}I", *[x.id for x in found])
 
     def _words(self, words: list[str], before: str) -> list[bytes]:
