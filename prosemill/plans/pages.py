@@ -169,7 +169,7 @@ def aligned_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document as nodes, its text as the output: the nodes' number and the fingerprint of
     what each gets."""
     d = table(spark, sf_dir, "documents")
-    texts = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim)
+    texts = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x))  # of F.trim itself the index would be the characters to trim
     off = F.transform(texts, lambda _: F.lit(False))
     out = write_back.aligned_nodes(d.select(F.col("doc_id").alias("id"), texts.alias("texts"), collapsed(F.col("text")).alias("output"), off.alias("nested"), off.alias("pinned")))
     return out.select("id", F.size("parts").cast("long").alias("nodes"), sha16(F.array_join("parts", "|")).alias("parts"))
