@@ -49,6 +49,10 @@ def change_reason(original: Column, answer: Column) -> Column:
     return F.when(~accepted & (cosmetic | lost), "no_meaningful_change")
 
 
+def _too_short(n: Column, m: Column) -> Column:
+    return (n > 0) & (m < n * F.lit(RETENTION))
+
+
 def output_reason(original: Column, candidate: Column, document: bool = False) -> Column:
     """The first rule that a prompted model's answer breaks."""
     text = stripped(candidate)
@@ -65,12 +69,18 @@ def output_reason(original: Column, candidate: Column, document: bool = False) -
         ("too_long", some & (m > F.greatest(n * F.lit(LENGTH_RATIO), (n + HEADROOM).cast("double")))),
     ]
     if document:
-        rules.append(("too_short", some & (m < n * F.lit(RETENTION))))
+        rules.append(("too_short", _too_short(n, m)))
     else:
         rules.append(("unrelated_short_output", some & (n <= SHORT_INPUT) & ~F.arrays_overlap(lower(a), lower(b))))
     return _first(*rules)
 
 
+def retention_reason(original: Column, answer: Column) -> Column:
+    """too_short for answers with words, but too few of them, whatever other rules they break."""
+    n, m = F.size(letter_tokens(original)), F.size(letter_tokens(answer))
+    return F.when((m > 0) & _too_short(n, m), "too_short")
+
+
 def hallucination_reason(original: Column, answer: Column) -> Column:
     """hallucination for one to three different input words of which the answer has none."""
     a = F.array_distinct(F.transform(letter_tokens(original), F.lower))

@@ -72,8 +72,8 @@ def prompted_guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT kind, count(*) AS n FROM r GROUP BY kind""")
 def retention_and_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t = F.col("source"), F.col("target")
-    kind = F.when(guards.output_reason(s, t, document=True) == "too_short", "too_short")
-    return turn_pairs(spark, sf_dir).select(F.coalesce(kind, guards.hallucination_reason(s, t), F.lit("neither")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    kind = F.coalesce(guards.retention_reason(s, t), guards.hallucination_reason(s, t), F.lit("neither"))
+    return turn_pairs(spark, sf_dir).select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(rf"""WITH RECURSIVE u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, CAST(ceil(len({q.words('text')}) * 1.6) AS BIGINT) AS n FROM conversations),

@@ -23,3 +23,13 @@ def test_lines_that_begin_with_their_number(spark, small, tmp_path):
     texts = ["0 zero here\n1219 one here\n2 two here\n33 three here 3", "  spaces before\nand after  \n  both sides  ", "", None, "1\n1\n1\n\n4"]
     docs = [{"doc_id": i, "text": t, "lang": "en", "source": "src1", "n_chars": 1} for i, t in enumerate(texts)]
     assert said(spark, small, tmp_path, "aligned_text_nodes", documents=docs) == ""
+
+
+def talk(*texts):
+    return [{"conv_id": 1, "turn": i, "role": "user", "text": t} for i, t in enumerate(texts)]
+
+
+def test_short_answers_that_break_another_rule(spark, small, tmp_path):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twenty one"
+    rows = talk(long, "the the the the", long, "I'm sorry, I cannot", long, "Text: so", long, "...", long, None, long, "", "Published", "Other things", "Published it", "42", "13", "")
+    assert said(spark, small, tmp_path, "retention_and_hallucination", conversations=rows) == ""
