@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.functions.text import collapsed, content_tokens, jaccard, overlap_norm, stripped, word_list
@@ -126,31 +129,73 @@ def exact_duplicates(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+#: Counters for the order of tokens, and 64-bit words of a set's signature.
+COUNTERS, SIGNATURE = 1 << 20, 8
+
+
 def jaccard_matches(left: DataFrame, right: DataFrame, percent: int = 90) -> DataFrame:
     """Pairs of left (lid, text) and right (rid, text) whose sets of normalised tokens have a
     Jaccard similarity of ``percent`` or more.
 
-    Exact prefix filtering: with tokens ordered from rare to common, two such sets share one of
-    their first size - ceil(percent * size) + 1 tokens, so only those are joined on; sizes that rule
-    the similarity out and all but the first meeting of a pair go before the sets are compared.
+    Equal sets are one class, whose ids are put back at the end. Exact prefix filtering: with tokens
+    in one order, best from rare to common, two such sets have their first common token among their
+    first size - ceil(percent * size) + 1 tokens, so only those are joined on. There a pair goes on if
+    as many common tokens as it needs can still follow in both sets, and if few enough bits of the sets'
+    signatures differ: each such bit stands for a token that one set has alone. What is left is compared.
     """
-    tokens = lambda df, k: df.select(k, F.array_distinct(F.split(overlap_norm(F.col("text")), " ")).alias("tokens")).where("tokens[0] != ''")
-    l, r = tokens(left, "lid"), tokens(right, "rid")
-    frequency = r.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-
-    def prefixes(df: DataFrame, k: str) -> DataFrame:
-        n = F.size("tokens")
-        ranked = df.select(k, "tokens", F.explode("tokens").alias("token")).join(frequency, "token", "left")
-        order = Window.partitionBy(k).orderBy(F.coalesce("df", F.lit(0)), "token")
-        keep = n - F.ceil(F.lit(percent) * n / 100) + 1
-        return ranked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= keep).select(k, "token", n.alias(f"n_{k}"))
-
-    a, b = prefixes(l, "lid"), prefixes(r, "rid")
-    near = 100 * F.least("n_lid", "n_rid") >= percent * F.greatest("n_lid", "n_rid")
-    pairs = a.join(b, "token").where(near).select("lid", "rid").distinct()
-    x, y = l.withColumnRenamed("tokens", "a"), r.withColumnRenamed("tokens", "b")
+    l, r = _classes(left, "lid"), _classes(right, "rid")
+    slot = F.explode(F.transform(F.array_distinct(_tokens(right)), lambda w: F.pmod(F.xxhash64(w), F.lit(COUNTERS))))
+    counted = right.select(slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toArrow()  # COUNTERS rows at most
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    counts = left.sparkSession.sparkContext.broadcast(counts)
+
+    a, b = (_prefixes(x, counts, percent).toDF("token", *[f"{k}{c}" for c in ("", "_n", "_at", *range(SIGNATURE))]) for x, k in ((l, "lid"), (r, "rid")))
+    n, m = F.col("lid_n"), F.col("rid_n")
+    differ = sum((F.bit_count(F.col(f"lid{i}").bitwiseXOR(F.col(f"rid{i}"))) for i in range(SIGNATURE)), F.lit(0))
+    needed = percent * (n + m)
+    follow = (100 + percent) * (1 + F.least(n - F.col("lid_at"), m - F.col("rid_at"))) >= needed
+    pairs = a.hint("merge").join(b, (a["token"] == b["token"]) & follow & ((100 + percent) * (n + m - differ) >= 2 * needed)).select("lid", "rid").distinct()
+    x, y = l.toDF("lid", "a", "lids"), r.toDF("rid", "b", "rids")
     both, union = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
-    return pairs.join(x, "lid").join(y, "rid").where(100 * both >= percent * union).select("lid", "rid", jaccard(F.col("a"), F.col("b")).alias("jaccard"))
+    found = pairs.join(x, "lid").join(y, "rid").where(100 * both >= percent * union).select("lids", "rids", jaccard(F.col("a"), F.col("b")).alias("jaccard"))
+    return found.select(F.explode("lids").alias("lid"), "rids", "jaccard").select("lid", F.explode("rids").alias("rid"), "jaccard")
+
+
+def _tokens(df: DataFrame) -> Column:
+    return F.split(overlap_norm(df["text"]), " ")
+
+
+def _classes(df: DataFrame, k: str) -> DataFrame:
+    """The distinct sets of tokens: a hash that leads back to them, tokens, and the ids that have them."""
+    rows = df.select(k, F.array_sort(F.array_distinct(_tokens(df))).alias("tokens")).where(F.get("tokens", F.lit(0)) != "")
+    return rows.groupBy("tokens").agg(F.collect_list(k).alias("ids")).select(F.xxhash64("tokens").alias("key"), "tokens", "ids")
+
+
+def _prefixes(classes: DataFrame, counts, percent: int) -> DataFrame:
+    """Rows (token, key, size of the set, the token's place from 1, signature) of each set's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, tokens = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
+            size = pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
+            begin = np.cumsum(size) - size
+            row = np.repeat(np.arange(len(keys)), size)
+            bits = tokens.view(np.uint64)
+            bit = np.uint64(1) << (bits & np.uint64(63))
+            word = bits >> np.uint64(6) & np.uint64(SIGNATURE - 1)
+            signature = [np.bitwise_or.reduceat(np.where(word == np.uint64(w), bit, np.uint64(0)), begin).view(np.int64) for w in range(SIGNATURE)]
+            order = np.lexsort((tokens, counts.value[tokens % COUNTERS], row))
+            at = np.arange(len(tokens)) - begin[row] + 1
+            keep = at <= (size + percent * -size // 100 + 1)[row]
+            of = row[keep]
+            columns = [tokens[order][keep], keys[of], size[of], at[keep], *[x[of] for x in signature]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "key", "n", "at", *[f"s{i}" for i in range(SIGNATURE)]])
+
+    hashed = classes.select("key", F.transform("tokens", lambda w: F.xxhash64(w)))
+    return hashed.mapInArrow(run, "token long, key long, n long, at long, " + ", ".join(f"s{i} long" for i in range(SIGNATURE)))
 
 
 def well_formed(text: Column) -> Column:

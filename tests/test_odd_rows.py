@@ -33,3 +33,25 @@ def test_short_answers_that_break_another_rule(spark, small, tmp_path):
     long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twenty one"
     rows = talk(long, "the the the the", long, "I'm sorry, I cannot", long, "Text: so", long, "...", long, None, long, "", "Published", "Other things", "Published it", "42", "13", "")
     assert said(spark, small, tmp_path, "retention_and_hallucination", conversations=rows) == ""
+
+
+def test_jaccard_of_copies_and_sizes(spark, small, tmp_path):
+    """All pairs, copies and ids that come twice included, by hash filters as by brute force."""
+    import random
+
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    sets = [draw.sample(words, draw.randint(1, 50)) for _ in range(60)]
+    sets += [s[: len(s) * 2 // 3] + draw.sample(words, draw.randint(0, 9)) for s in sets] + sets[:9] + [["the"]] * 5 + [list(reversed(sets[0]))]
+    rows = [{"conv_id": i // 3, "turn": i % 3 if i != 50 else 1, "role": draw.choice(["user", "assistant"]), "text": " ".join(s)} for i, s in enumerate(sets)]
+    rows += [{"conv_id": 900, "turn": 0, "role": "assistant", "text": t} for t in (None, "", "?!")]
+    assert said(spark, small, tmp_path, "near_duplicates_jaccard", conversations=rows) == ""
+
+
+def test_jaccard_carries_no_set_per_token(spark):
+    """What a token of a prefix takes along is bounded, however long its text."""
+    from prosemill.operators import corpus
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b c")], "id long, text string")
+    plan = corpus.jaccard_matches(docs.withColumnRenamed("id", "lid"), docs.withColumnRenamed("id", "rid"), 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "explode(tokens" not in plan
