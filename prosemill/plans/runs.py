@@ -61,8 +61,8 @@ _TURNS = "t AS (SELECT conv_id, turn, text AS source, lead(text) OVER (PARTITION
   WHEN len({_W('source')}) BETWEEN 1 AND 3 AND NOT list_has_any({_LOW('source')}, {_LOW('target')}) THEN 'unrelated_short_output' ELSE 'accepted' END AS reason FROM t WHERE target IS NOT NULL)
 SELECT reason, count(*) AS n FROM r GROUP BY reason""")
 def prompted_guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompted guard over turns; these texts loop nowhere, so SQL without back-references
-    gives the same counts."""
+    """The prompted guard over turns. The SQL has no back-references and so no degenerate_repetition:
+    turns that loop, of which larger tables have some, it counts by the rule they break next, if any."""
     reason = guards.output_reason(F.col("source"), F.col("target"))
     return turn_pairs(spark, sf_dir).select(F.coalesce(reason, F.lit("accepted")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 

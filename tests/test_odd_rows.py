@@ -62,3 +62,11 @@ def test_code_words_beside_letters_beyond_ascii(spark, small, tmp_path):
     page = "<html><head><title>t</title></head><body><article><h1>One two three four</h1>{}</article></body></html>"
     pages = [{"page_id": i, "url": "u", "html": page.format(f"<p>{t}</p>")} for i, t in enumerate(texts)]
     assert said(spark, small, tmp_path, "html_units", pages=pages) == ""
+
+
+def test_turns_that_loop_are_counted_as_loops(spark, tmp_path):
+    """The one rule that the SQL lacks."""
+    rows = talk("One two three four.", "so the, the the the end", "One two three four.", "Complex: the the the the", "the the the")
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "conversations.parquet")
+    got = {r.reason: r.n for r in QUERIES["prompted_guard_counts"](spark, str(tmp_path)).collect()}
+    assert got == {"degenerate_repetition": 1, "prompt_echo": 1, "accepted": 2}
